@@ -81,7 +81,7 @@ def _literal_kind(token: tuple[str, str]) -> str | None:
     return None
 
 
-def _field_kind(tokens, i: int, calls: list[str], typed: Callable[[str], str | None]) -> str:
+def _field_kind(tokens, i: int, calls: list[str], typed: Callable[[str], str | None], alone: str) -> str:
     """Which typed accessor a record field needs, judged from its neighbours."""
     at = lambda k: tokens[k] if 0 <= k < len(tokens) else ("end", "")
     before, after = at(i - 1), at(i + 1)
@@ -99,7 +99,7 @@ def _field_kind(tokens, i: int, calls: list[str], typed: Callable[[str], str | N
         return "number"
     if calls and calls[-1]:
         return "number" if calls[-1] in _NUMBER_FUNCTIONS else typed(tokens[i][1]) or "string"
-    return "boolean"
+    return alone
 
 
 def _operand_end(tokens, i: int) -> int:
@@ -134,7 +134,7 @@ def to_sql(
     return " ".join(_render(tokens, mode, field, feature, typed))
 
 
-def _render(tokens, mode, field, feature, typed) -> list[str]:
+def _render(tokens, mode, field, feature, typed, alone: str = "boolean") -> list[str]:
     out: list[str] = []
     calls: list[str] = []
     brackets: list[str] = []
@@ -157,7 +157,7 @@ def _render(tokens, mode, field, feature, typed) -> list[str]:
         elif kind == "field":
             if mode == "scheduled":
                 raise ExpressionError("record is not available in scheduled mode")
-            out.append(field(_field_kind(tokens, i, calls, typed), text))
+            out.append(field(_field_kind(tokens, i, calls, typed, alone), text))
         elif kind == "number":
             # A trailing D keeps arithmetic in floating point, as records are.
             out.append(text + ("D" if re.search(r"[.eE]", text) else ""))
@@ -182,8 +182,7 @@ def _render(tokens, mode, field, feature, typed) -> list[str]:
         elif kind == "op" and text in ("/", "%") and i + 1 < len(tokens):
             # Division by zero gives NULL (no verdict) instead of failing the query.
             end = _operand_end(tokens, i + 1)
-            operand = " ".join(_render(tokens[i + 1:end], mode, field, feature,
-                                       lambda name: typed(name) or "number"))
+            operand = " ".join(_render(tokens[i + 1:end], mode, field, feature, typed, "number"))
             out.append(f"{text} nullif({operand}, 0)")
             i = end
             continue
