@@ -7,12 +7,14 @@ distinct policy and joined with the subscriptions afterwards.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .state import to_ms
 from .verdicts import with_value
@@ -91,18 +93,25 @@ def first_notices(incidents: DataFrame, ticks: DataFrame | None, policies: DataF
     return at_open.unionByName(later)
 
 
-def repeat_notices(ticks: DataFrame, policies: DataFrame) -> DataFrame:
+def repeat_notices(incidents: DataFrame, ticks: DataFrame, policies: DataFrame) -> DataFrame:
     """Repeats: after a notice, the next one is the first firing tick at least ``repeat`` later.
 
     The chain is greedy over the actual ticks, so it is walked in order, one incident and policy at a
-    time, holding only the last notice. Since its clock has millisecond precision, only the first tick of
-    a millisecond can ever be a notice; the others are dropped before the shuffle, which bounds a
-    chain by the time it covers and not by the number of records.
+    time, holding only the last notice. Only incidents that lasted longer than ``dwell`` or ``repeat`` are
+    walked. Since the clock has millisecond precision, only the first tick of a millisecond can ever be a
+    notice; the others are dropped before the shuffle, which bounds a chain by the time it covers and
+    not by the number of records.
     """
     cell = lambda t, p: F.expr(f"(unix_micros({t}) - {p} % {_MS}) div {_MS}")
-    active = _policies(policies, "repeat_us > 0")
+    lasted = F.unix_micros("close.now") - F.unix_micros(to_ms(F.col("open_at")))
+    long = F.filter("policies", lambda p: F.col("close").isNull() | (p["since_us"] != _NEVER) | (
+        lasted > F.greatest(p["dwell_us"], p["repeat_us"])))
+    walked = (
+        incidents.join(_policies(policies, "repeat_us > 0"), ["rule_id", "carried"])
+        .select("rule_id", "carried", "open_at", "open_seq", long.alias("policies")).where(F.size("policies") > 0)
+    )
     chains = (
-        ticks.join(active, ["rule_id", "carried"])
+        ticks.join(walked, ["rule_id", "carried", "open_at", "open_seq"])
         .select("*", F.inline("policies")).drop("policies")
         .where(_elapsed(F.col("now")) >= F.col("dwell_us"))
         .where((F.col("dwell_us") <= 0) | (F.col("now") > F.col("open_at")) | (F.col("seq") > F.col("open_seq")))
@@ -114,35 +123,48 @@ def repeat_notices(ticks: DataFrame, policies: DataFrame) -> DataFrame:
         chains.select(*keys, "now", "seq", "measure", "detail", F.unix_micros("now").alias("us"))
         .repartition(*keys).sortWithinPartitions(*keys, "now", "seq")
     )
-    schema = ("rule_id string, carried boolean, open_at timestamp, open_seq bigint, dwell_us bigint, "
-              "repeat_us bigint, since_us bigint, now timestamp, seq bigint, measure double, detail string")
+    schema = T.StructType([f for f in ordered.schema if f.name != "us"])
     return (
-        ordered.groupBy(*keys).applyInPandas(_chain_walker(), schema)
+        ordered.mapInArrow(_chain_walker(keys, _MS), schema)
         .select(*keys, F.lit(REPEAT).alias("kind"), "now", "seq", "measure", "detail")
     )
 
 
-def _chain_walker():
-    """The group function; nested, so that it is shipped by value and executors need not import this package."""
-    ms = _MS
+def _chain_walker(keys: list[str], ms: int):
+    """Walk sorted chains batch by batch; a chain may span batches but never partitions.
 
-    def walk(key: tuple[Any, ...], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repeat, since = int(key[5]), int(key[6])
-        last = None if since < 0 else since
-        for part in parts:
-            us = part["us"].to_numpy()
-            picks, pos = [], 0
-            if last is None and len(us):
-                last, pos = int(us[0]) // ms * ms, 1  # the firing notice itself
-            while last is not None:
-                pos = max(pos, int(np.searchsorted(us, last + repeat, side="left")))
-                if pos >= len(us):
-                    break
-                picks.append(pos)
-                last = int(us[pos]) // ms * ms
-                pos += 1
+    Nested, so that it is shipped by value and executors need not import this package.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            us, repeat, since = (batch.column(c).to_numpy() for c in ("us", "repeat_us", "since_us"))
+            begins = np.zeros(n, dtype=bool)
+            for name in keys:
+                column = batch.column(name)
+                begins[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            begins[0] = current != [batch.column(k)[0] for k in keys]
+            starts = np.union1d([0], np.flatnonzero(begins))
+            picks: list[int] = []
+            for start, end in zip(starts, [*starts[1:], n]):
+                pos = start
+                if begins[start]:
+                    last = None if since[start] < 0 else int(since[start])
+                if last is None:
+                    last, pos = int(us[start]) // ms * ms, start + 1  # the firing notice itself
+                while pos < end:
+                    pos += int(np.searchsorted(us[pos:end], last + repeat[start], side="left"))
+                    if pos < end:
+                        picks.append(int(pos))
+                        last = int(us[pos]) // ms * ms
+                        pos += 1
+            current = [batch.column(k)[n - 1] for k in keys]
             if picks:
-                yield part.iloc[picks].drop(columns=["us"])
+                yield batch.take(pa.array(picks, pa.int64())).select([c for c in batch.schema.names if c != "us"])
 
     return walk
 
@@ -172,7 +194,7 @@ def dispatches(
     firsts = first_notices(incidents, ticks, policies)
     events = firsts.select(*_EVENT).unionByName(resolve_notices(incidents, firsts, policies))
     if ticks is not None:
-        events = events.unionByName(repeat_notices(ticks, policies).select(*_EVENT))
+        events = events.unionByName(repeat_notices(incidents, ticks, policies).select(*_EVENT))
     from .state import incident_id
 
     return (

@@ -318,7 +318,7 @@ def _window(agg: str):
     def run(spark, sf):
         rule = Rule("w", "n", "events", WindowAggregate("value", agg, 90 * MINUTE, ">", 0), schedule_ns=20 * MINUTE)
         rows, _ = windows.window_features(event_records(spark, sf), [rule], START, END)
-        return plain(rows.select("rule_id", "now", F.round("w0", 6).alias("value")))
+        return plain(rows.select("rule_id", "now", F.round("w0", 9).alias("value")))
 
     QUERIES["win_" + agg] = run
 

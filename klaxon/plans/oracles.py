@@ -245,7 +245,7 @@ def _messages() -> str:
 def _window(agg: str) -> str:
     fn = {"count": "count(value)::double"}.get(agg, f"{agg}(value)")
     return f"""with t as (select timestamp '2024-01-01' + i * interval 20 minute as now from generate_series(0, 2160) g(i))
-    select 'w' as rule_id, now, round({fn}, 6) as value from t left join events
+    select 'w' as rule_id, now, round({fn}, 9) as value from t left join events
     on ts between now - interval 90 minute and now group by now"""
 
 
