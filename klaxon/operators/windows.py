@@ -57,10 +57,16 @@ class _Feature:
     every: int     # grid steps between ticks
     span: int      # grid steps in the window
     closed: bool   # lower edge included
+    first: int     # tick indexes first..ticks-1
     ticks: int
 
 
-def _features(rules: Sequence[Rule], slots: dict[str, Fields], start: int, end: int, max_span_ns: int | None):
+def _first_tick(start: int, every: int, after: datetime | None) -> int:
+    return 0 if after is None else max(0, (micros(after) - start) // every + 1)
+
+
+def _features(rules: Sequence[Rule], slots: dict[str, Fields], start: int, end: int, max_span_ns: int | None,
+              after: datetime | None):
     for rule in rules:
         every = cadence_us(rule.schedule_ns)
         for (agg, name, window_ns), alias in slots[rule.id].wanted.items():
@@ -68,19 +74,26 @@ def _features(rules: Sequence[Rule], slots: dict[str, Fields], start: int, end:
             span = (max_span_ns if limited else window_ns) // 1000
             step = math.gcd(every, span) if span else every
             yield _Feature(rule.id, int(alias[1:]), rule.input_ref, name, agg, step, every // step, span // step,
-                           not limited, max(0, (end - start) // every + 1))
+                           not limited, _first_tick(start, every, after), max(0, (end - start) // every + 1))
+
 
+def schedule_grid(spark: SparkSession, rules: Sequence[Rule], start: datetime, end: datetime,
+                  after: datetime | None = None) -> DataFrame:
+    """Every tick of the scheduled rules: (rule_id, tick, now), first one at ``start``.
 
-def schedule_grid(spark: SparkSession, rules: Sequence[Rule], start: datetime, end: datetime) -> DataFrame:
-    """Every tick of the scheduled rules: (rule_id, tick, now), first one at ``start``."""
+    With ``after`` only the ticks later than it, on the same grid.
+    """
     first, last = micros(start), micros(end)
     plan = [(r.id, cadence_us(r.schedule_ns)) for r in runnable(rules, SCHEDULED)]
     most = max([(last - first) // every + 1 for _, every in plan], default=0)
-    entries = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.lit(e).alias("every")) for i, e in plan]) if plan \
-        else F.expr("cast(array() as array<struct<rule_id:string,every:bigint>>)")
+    least = min([_first_tick(first, every, after) for _, every in plan], default=0)
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("rule_id"), F.lit(e).cast("bigint").alias("every"),
+                 F.lit(_first_tick(first, e, after)).cast("bigint").alias("from")) for i, e in plan]) if plan \
+        else F.expr("cast(array() as array<struct<rule_id:string,every:bigint,from:bigint>>)")
     return (
-        spark.range(0, max(0, most)).select(F.col("id").alias("tick"), F.inline(entries))
-        .where(F.col("tick") * F.col("every") <= last - first)
+        spark.range(least, max(least, most)).select(F.col("id").alias("tick"), F.inline(entries))
+        .where((F.col("tick") * F.col("every") <= last - first) & (F.col("tick") >= F.col("from")))
         .select("rule_id", "tick", F.timestamp_micros(F.lit(first) + F.col("tick") * F.col("every")).alias("now"))
     )
 
@@ -91,6 +104,7 @@ def window_features(
     start: datetime,
     end: datetime,
     max_span_ns: int | None = None,
+    after: datetime | None = None,
 ) -> tuple[DataFrame, dict[str, Fields]]:
     """Window aggregates of every rule at every tick.
 
@@ -102,9 +116,9 @@ def window_features(
     for rule in active:
         rule.condition.outcome(slots[rule.id])
     first, last = micros(start), micros(end)
-    features = list(_features(active, slots, first, last, max_span_ns))
+    features = list(_features(active, slots, first, last, max_span_ns, after))
     width = max([f.slot + 1 for f in features], default=0)
-    grid = schedule_grid(records.sparkSession, active, start, end)
+    grid = schedule_grid(records.sparkSession, active, start, end, after)
     empty = [F.lit(None).cast(t).alias(n) for n, t in
              (("slot", "int"), ("s", "double"), ("n", "bigint"), ("lo", "double"), ("hi", "double"))]
     rows = grid.select("rule_id", "tick", *empty)
@@ -155,6 +169,7 @@ def _panes(records: DataFrame, features: list[_Feature], first: int) -> DataFram
     entries = F.array(*[
         F.struct(F.lit(i).alias("f"), F.lit(f.input_ref).alias("ref"), F.lit(f.step).cast("bigint").alias("step"),
                  F.lit((f.ticks - 1) * f.every).cast("bigint").alias("top"),
+                 F.lit(f.first * f.every).cast("bigint").alias("bottom"),
                  F.lit(f.span).cast("bigint").alias("span"), numbers[f.field].alias("v"))
         for i, f in enumerate(features)])
     rest = F.pmod(F.col("at"), F.col("step"))
@@ -163,7 +178,7 @@ def _panes(records: DataFrame, features: list[_Feature], first: int) -> DataFram
         base.select("input_ref", "at", F.inline(entries))
         .where((F.col("ref") == F.col("input_ref")) & F.col("v").isNotNull())
         .withColumn("pane", pane).withColumn("edge", rest == 0)
-        .where((F.col("pane") <= F.col("top")) & (F.col("pane") + F.col("span") >= 0))
+        .where((F.col("pane") <= F.col("top")) & (F.col("pane") + F.col("span") >= F.col("bottom")))
         .groupBy("f", "pane", "edge")
         .agg(F.sum("v").alias("s"), F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
@@ -173,10 +188,11 @@ def _spread(panes: DataFrame, features: list[_Feature]) -> DataFrame:
     """Give each pane to the ticks whose window covers it."""
     entry = F.array(*[
         F.struct(F.lit(f.rule).alias("rule_id"), F.lit(f.slot).alias("slot"), F.lit(f.every).alias("every"),
-                 F.lit(f.span).alias("span"), F.lit(f.closed).alias("closed"), F.lit(f.ticks).alias("ticks"))
+                 F.lit(f.span).alias("span"), F.lit(f.closed).alias("closed"), F.lit(f.first).cast("bigint").alias("first"),
+                 F.lit(f.ticks).alias("ticks"))
         for f in features])
     reach = F.when(F.col("edge") & F.col("e.closed"), F.lit(0)).otherwise(F.lit(1))
-    low = F.expr("(greatest(pane, 0) + e.every - 1) div e.every")
+    low = F.expr("greatest((greatest(pane, 0) + e.every - 1) div e.every, e.first)")
     top = F.col("pane") + F.col("e.span") - reach
     high = F.least(F.expr("top div e.every"), F.col("e.ticks").cast("bigint") - 1)
     return (
@@ -192,9 +208,10 @@ def window_verdicts(
     start: datetime,
     end: datetime,
     max_span_ns: int | None = None,
+    after: datetime | None = None,
 ) -> DataFrame:
     """Verdicts of window_aggregate and scheduled expression rules at every tick."""
-    features, slots = window_features(records, rules, start, end, max_span_ns)
+    features, slots = window_features(records, rules, start, end, max_span_ns, after)
     triggered = measure = None
     for rule in runnable(rules, SCHEDULED):
         if rule.id not in slots:

@@ -162,11 +162,14 @@ def plan_alerts(
     sql_ticks: Sequence[datetime] = (),
     carried: Carried = Carried(),
     timeline: Timeline | None = None,
+    samples: DataFrame | None = None,
+    after: datetime | None = None,
 ) -> AlertPlan:
     """Evaluate rules over records and plan what to send.
 
     Event time is the clock: a record's ``when`` for push rules, the tick for scheduled rules, which run
-    from ``start`` to ``end``. SQL rules run at ``sql_ticks``.
+    from ``start`` to ``end``. SQL rules run at ``sql_ticks``. An incremental run passes the ticks already
+    done in ``after`` and, in ``samples``, the records its windows reach back to.
     """
     spark = records.sparkSession
     timeline = timeline or plan_timeline(records)
@@ -175,7 +178,7 @@ def plan_alerts(
         parts.append(push_verdicts(records, rules, timeline))
     scheduled = runnable(rules, SCHEDULED)
     if any(not isinstance(r.condition, SqlReturnsRows) for r in scheduled) and start and end:
-        parts.append(state.sliced(window_verdicts(records, rules, start, end, max_span_ns), timeline))
+        parts.append(state.sliced(window_verdicts(records if samples is None else samples, rules, start, end, max_span_ns, after), timeline))
     if any(isinstance(r.condition, SqlReturnsRows) for r in scheduled) and datasources and sql_ticks:
         verdicts, errors = sql_verdicts(datasources, rules, sql_ticks)
         parts.append(state.sliced(verdicts, timeline))
