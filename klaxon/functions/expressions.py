@@ -7,8 +7,8 @@ literals: ``&& || ! == !=``, ``"text"``, ``nil``, ``[a, b]`` lists, the infix te
 pattern)`` and the window helpers ``avg_over(field, "30d")``. Everything else is Spark SQL;
 Catalyst parses, types and optimises it.
 
-A missing field is NULL: equality with it is false (``==`` is null-safe), any other use
-makes the verdict NULL, i.e. no tick at all.
+A missing field is NULL: comparing the field itself with ``==`` or ``!=`` is null-safe, any other
+use makes the verdict NULL, i.e. no tick at all.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ HELPERS = {"avg_over": "avg", "sum_over": "sum", "min_over": "min", "max_over":
 FORBIDDEN = {"reflect", "java_method", "try_reflect", "raise_error", "assert_true", "select", "from"}
 
 _COMPARE = {"==", "!=", "=", "<", "<=", ">", ">="}
+_ARITHMETIC = ("+", "-", "*", "/", "%")
 _TEXT_TESTS = {"contains", "startswith", "endswith", "matches", "like", "rlike", "ilike"}
 _NUMBER_FUNCTIONS = {"abs", "ceil", "floor", "round", "sqrt", "pow", "power", "greatest", "least", "isnan", "mod"}
 _TOKEN = re.compile(
@@ -95,13 +96,20 @@ def _field_kind(tokens, i: int, calls: list[str], typed: Callable[[str], str | N
         return _literal_kind(at(i + 3)) or "string"
     if after[0] == "word" and after[1].lower() == "is":
         return "present"
-    if after[1] in ("+", "-", "*", "/", "%") or before[1] in ("+", "-", "*", "/", "%"):
+    if after[1] in _ARITHMETIC or before[1] in _ARITHMETIC:
         return "number"
     if calls and calls[-1]:
         return "number" if calls[-1] in _NUMBER_FUNCTIONS else typed(tokens[i][1]) or "string"
     return alone
 
 
+def _bare_field_compared(tokens, i: int) -> bool:
+    """Is one side of the comparison a plain field or nil (which may be missing without being an error)?"""
+    at = lambda k: tokens[k] if 0 <= k < len(tokens) else ("end", "")
+    plain = lambda side, beyond: (side[0] == "field" or _literal_kind(side) == "present") and beyond[1] not in _ARITHMETIC
+    return plain(at(i - 1), at(i - 2)) or plain(at(i + 1), at(i + 2))
+
+
 def _operand_end(tokens, i: int) -> int:
     """Index after the operand that starts at ``i`` (a literal, field, call or group)."""
     if tokens[i][0] == "word" and i + 1 < len(tokens) and tokens[i + 1] == ("op", "("):
@@ -198,8 +206,10 @@ def _render(tokens, mode, field, feature, typed, alone: str = "boolean") -> list
                 raise ExpressionError("unbalanced brackets")
             calls.pop()
             out.append(brackets.pop())
-        elif kind == "op" and text in ("&&", "||", "==", "!=", "!"):
-            out.append({"&&": "AND", "||": "OR", "==": "<=>", "!=": "IS DISTINCT FROM", "!": "NOT"}[text])
+        elif kind == "op" and text in ("==", "!=") and _bare_field_compared(tokens, i):
+            out.append({"==": "<=>", "!=": "IS DISTINCT FROM"}[text])
+        elif kind == "op" and text in ("&&", "||", "!"):
+            out.append({"&&": "AND", "||": "OR", "!": "NOT"}[text])
         else:
             if kind == "op" and text == "(":
                 calls.append(tokens[i - 1][1].lower() if i and tokens[i - 1][0] == "word"

@@ -80,7 +80,8 @@ def first_notices(incidents: DataFrame, ticks: DataFrame | None, policies: DataF
     waiting = _policies(policies, f"since_us = {_NEVER} and (dwell_us > 0 or carried)")
     # Keep a tick only if it may be the first one past some dwell: about one row per policy and slice.
     due = F.filter("policies", lambda p: (_elapsed(F.col("now")) >= p["dwell_us"]) & (
-        F.col("prev_now").isNull() | (_elapsed(F.col("prev_now")) < p["dwell_us"])))
+        F.col("prev_now").isNull() | (F.col("prev_now") == F.col("open_at")) | (
+            _elapsed(F.col("prev_now")) < p["dwell_us"])))
     later = (
         ticks.join(waiting, ["rule_id", "carried"])
         .where((F.col("now") > F.col("open_at")) | (F.col("seq") > F.col("open_seq")))
@@ -116,7 +117,7 @@ def repeat_notices(incidents: DataFrame, ticks: DataFrame, policies: DataFrame)
         .where(_elapsed(F.col("now")) >= F.col("dwell_us"))
         .where((F.col("dwell_us") <= 0) | (F.col("now") > F.col("open_at")) | (F.col("seq") > F.col("open_seq")))
         .where(F.col("prev_now").isNull() | (cell("now", "repeat_us") != cell("prev_now", "repeat_us"))
-               | (_elapsed(F.col("prev_now")) < F.col("dwell_us")))
+               | (F.col("prev_now") == F.col("open_at")) | (_elapsed(F.col("prev_now")) < F.col("dwell_us")))
     )
     keys = ["rule_id", "carried", "open_at", "open_seq", *_POLICY]
     ordered = (
