@@ -24,7 +24,8 @@ def _pattern_errors(patterns: Column) -> Column:
 
     @F.pandas_udf("string")
     def check(values: pd.Series) -> pd.Series:
-        return values.map({p: pattern_error(p) for p in values.dropna().unique()})
+        known = {p: pattern_error(p) for p in values.dropna().unique()}
+        return pd.Series([known.get(p) for p in values], dtype=object)
 
     return check(patterns)
 

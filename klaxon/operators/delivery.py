@@ -98,7 +98,7 @@ def repeat_notices(incidents: DataFrame, ticks: DataFrame, policies: DataFrame)
     """Repeats: after a notice, the next one is the first firing tick at least ``repeat`` later.
 
     The chain is greedy over the actual ticks, so it is walked in order, one incident and policy at a
-    time, holding only the last notice. Only incidents that lasted longer than ``dwell`` or ``repeat`` are
+    time, holding only the last notice. Only incidents that lasted at least ``dwell`` and ``repeat`` are
     walked. Since the clock has millisecond precision, only the first tick of a millisecond can ever be a
     notice; the others are dropped before the shuffle, which bounds a chain by the time it covers and
     not by the number of records.
@@ -106,7 +106,7 @@ def repeat_notices(incidents: DataFrame, ticks: DataFrame, policies: DataFrame)
     cell = lambda t, p: F.expr(f"(unix_micros({t}) - {p} % {_MS}) div {_MS}")
     lasted = F.unix_micros("close.now") - F.unix_micros(to_ms(F.col("open_at")))
     long = F.filter("policies", lambda p: F.col("close").isNull() | (p["since_us"] != _NEVER) | (
-        lasted > F.greatest(p["dwell_us"], p["repeat_us"])))
+        lasted >= F.greatest(p["dwell_us"], p["repeat_us"])))
     walked = (
         incidents.join(_policies(policies, "repeat_us > 0"), ["rule_id", "carried"])
         .select("rule_id", "carried", "open_at", "open_seq", long.alias("policies")).where(F.size("policies") > 0)

@@ -166,7 +166,7 @@ def random_world(seed):
     return rules, data, policies, subs
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_random_histories_equal_the_sequential_meaning(spark, seed):
     rules, data, policies, subs = random_world(seed)
     want, want_incidents = simulate(data, policies)
