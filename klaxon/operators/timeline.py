@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 8192
-_SAMPLES_PER_SLICE = 20
+MAX_SLICES = 65_536
+_SAMPLES_PER_SLICE = 16
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,7 @@ def plan_timeline(
 ) -> Timeline:
     """Choose boundaries from the data: a count, and for large inputs a key sample.
 
-    Only boundary candidates are sampled (about 20 keys per slice reach the driver); every
+    Only boundary candidates are sampled (about 16 keys per slice reach the driver); every
     record keeps its exact place.
     """
     keys = records.select(F.unix_micros(F.col(when)).alias("us"), F.col(seq).cast("bigint").alias("seq"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..model import PUSH, SCHEDULED, Rule, SqlReturnsRows, runnable
 from ..operators import config, delivery, matching, payloads, state
 from ..operators.sqlrules import Datasources, sql_verdicts
-from ..operators.timeline import Timeline, plan_timeline
+from ..operators.timeline import ROWS_PER_SLICE, Timeline, plan_timeline
 from ..operators.verdicts import push_verdicts, value_templates, with_value
 from ..operators.windows import window_verdicts
 from ..session import materialize
@@ -172,9 +172,12 @@ def plan_alerts(
     done in ``after`` and, in ``samples``, the records its windows reach back to.
     """
     spark = records.sparkSession
-    timeline = timeline or plan_timeline(records)
+    pushed = runnable(rules, PUSH)
+    if timeline is None:
+        # A slice is sorted once per rule, so it holds fewer records when there are many rules.
+        timeline = plan_timeline(records, max(20_000, ROWS_PER_SLICE // max(1, len(pushed))))
     parts, errors = [], None
-    if runnable(rules, PUSH):
+    if pushed:
         parts.append(push_verdicts(records, rules, timeline))
     scheduled = runnable(rules, SCHEDULED)
     if any(not isinstance(r.condition, SqlReturnsRows) for r in scheduled) and start and end:
