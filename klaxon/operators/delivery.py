@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .state import to_ms
+from ..session import materialize
+from .state import incident_id, to_ms
 from .verdicts import with_value
 
 FIRING, REPEAT, RESOLVED = "firing", "repeat", "resolved"
@@ -170,18 +171,22 @@ def _chain_walker(keys: list[str], ms: int):
     return walk
 
 
-def resolve_notices(incidents: DataFrame, firsts: DataFrame, policies: DataFrame) -> DataFrame:
-    """A closed incident resolves for every policy that had been notified; dwell is not checked again."""
+def resolve_notices(incidents: DataFrame, firsts: DataFrame, policies: DataFrame, carried: bool = True) -> DataFrame:
+    """A closed incident resolves for every policy that had been notified; dwell is not checked again.
+
+    ``carried`` tells whether there are incidents from earlier batches.
+    """
     closed = incidents.where("close is not null").select(
         "rule_id", "carried", "open_at", "open_seq", F.lit(RESOLVED).alias("kind"),
         F.col("close.now").alias("now"), F.col("close.seq").alias("seq"),
         F.col("close.measure").alias("measure"), F.col("close.detail").alias("detail"))
-    at_open = closed.join(_policies(policies, "not carried and dwell_us <= 0"), ["rule_id", "carried"])
-    told_before = closed.join(_policies(policies, f"carried and since_us <> {_NEVER}"), ["rule_id", "carried"])
+    told_early = [closed.join(_policies(policies, "not carried and dwell_us <= 0"), ["rule_id", "carried"])]
+    if carried:
+        told_early.append(closed.join(_policies(policies, f"carried and since_us <> {_NEVER}"), ["rule_id", "carried"]))
     keys = ["rule_id", "carried", "open_at", "open_seq"]
     told_now = firsts.where("carried or dwell_us > 0").select(*keys, *_POLICY).join(closed, keys)
     out = told_now.select(*_EVENT)
-    for part in (at_open, told_before):
+    for part in told_early:
         out = out.unionByName(part.select("*", F.inline("policies")).select(*_EVENT))
     return out
 
@@ -190,14 +195,18 @@ def dispatches(
     incidents: DataFrame,
     ticks: DataFrame | None,
     policies: DataFrame,
+    carried: bool = True,
 ) -> DataFrame:
-    """Every (event, subscription): firing, repeat and resolved, before one-shot and channels."""
+    """Every (event, subscription): firing, repeat and resolved, before one-shot and channels.
+
+    The first notices are stored, since resolutions start from them again.
+    """
     firsts = first_notices(incidents, ticks, policies)
-    events = firsts.select(*_EVENT).unionByName(resolve_notices(incidents, firsts, policies))
+    if ticks is not None:
+        firsts = materialize(firsts, "firsts")
+    events = firsts.select(*_EVENT).unionByName(resolve_notices(incidents, firsts, policies, carried))
     if ticks is not None:
         events = events.unionByName(repeat_notices(incidents, ticks, policies).select(*_EVENT))
-    from .state import incident_id
-
     return (
         events.join(policies, ["rule_id", "carried", *_POLICY])
         .where((F.col("kind") != RESOLVED) | F.col("notify_on_resolve"))

@@ -64,7 +64,7 @@ def plan_timeline(
     rows = keys.count()
     wanted = max(
         math.ceil(rows / rows_per_slice),
-        min(records.sparkSession.sparkContext.defaultParallelism, rows // 20_000),
+        min(3 * records.sparkSession.sparkContext.defaultParallelism, rows // 5_000),
     )
     slices = max(1, min(wanted, max_slices))
     if slices == 1:

@@ -121,7 +121,9 @@ class AlertPlan:
     @cached_property
     def dispatched(self) -> DataFrame:
         """Every (event, subscription), stored: deliveries and delivery state both start from it."""
-        return materialize(delivery.dispatches(self.stored_incidents, self.ticks, self.policies), "dispatched")
+        planned = delivery.dispatches(self.stored_incidents, self.ticks, self.policies,
+                                      carried=self.carried.open_incidents is not None)
+        return materialize(planned, "dispatched", spread=True)
 
     @cached_property
     def deliveries(self) -> DataFrame:

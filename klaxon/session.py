@@ -33,13 +33,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """Write an intermediate table once and read it back.
 
+    ``spread`` evens out the files first, for unions whose parts differ much in size.
+
     Used where several branches of a plan need the same result. The stored table survives the loss of
     executors and gives the optimizer real sizes, so later joins broadcast only what is small.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if spread:
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
