@@ -149,7 +149,7 @@ class AlertPlan:
     @cached_property
     def open_incidents(self) -> DataFrame:
         """Seeds for the next batch."""
-        return self.incident_rows.where("close is null").select(
+        return self.stored_incidents.where("close is null").select(
             "incident_id", "rule_id", "open_at", "open_seq", "open_measure", "open_detail")
 
 

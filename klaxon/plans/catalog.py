@@ -7,13 +7,14 @@ derived from part, customer and orders, so that every query grows with its input
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.durations import DAY_NS, flex_duration
+from ..functions import durations
+from ..functions.durations import DAY_NS
 from ..functions.fields import compare
 from ..model import Expression, Fields, PatternMatch, Rule, SqlReturnsRows, Threshold, WindowAggregate
 from ..operators import config, delivery, history, matching, payloads, retention, state, windows
@@ -571,7 +572,7 @@ def validate_subscriptions(spark, sf):
 
 
 @query
-def flex_durations(spark, sf):
+def flex_duration(spark, sf):
     li = read(spark, sf, "lineitem")
     q = F.col("l_quantity").cast("int")
     text = (
@@ -582,7 +583,7 @@ def flex_durations(spark, sf):
         .when(F.col("l_linenumber") == 5, F.concat(F.lit("-"), q, F.lit("m")))
         .when(F.col("l_linenumber") == 6, F.concat(q, F.lit("ms"), q, F.lit("µs"), q, F.lit("ns")))
         .otherwise(F.lit("")))
-    return li.select("l_orderkey", "l_linenumber", "l_quantity", flex_duration(text).alias("ns"))
+    return li.select("l_orderkey", "l_linenumber", "l_quantity", durations.flex_duration(text).alias("ns"))
 
 
 def rule_changes(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -590,7 +591,7 @@ def rule_changes(spark, sf) -> tuple[DataFrame, DataFrame]:
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(START).alias("created_at"),
         F.lit(START).alias("updated_at"))
     ops = F.create_map(*[F.lit(x) for x in ("O", "update", "P", "create", "F", "delete")])
-    changes = read(spark, sf, "orders").where("o_orderpriority <> '5-LOW'").select(
+    changes = read(spark, sf, "orders").select(
         F.col("o_custkey").alias("id"), F.element_at(ops, F.col("o_orderstatus")).alias("op"),
         F.col("o_orderkey").alias("version"), F.col("o_orderdate").cast("timestamp").alias("at"),
         F.concat(F.lit("v"), "o_orderkey").alias("name"))

@@ -259,7 +259,7 @@ def _changes() -> str:
 log as (
   select o_custkey as id, case o_orderstatus when 'O' then 'update' when 'P' then 'create' else 'delete' end as op,
          o_orderkey as version, o_orderdate as at, 'v' || o_orderkey as name
-  from orders where o_orderpriority <> '5-LOW'),
+  from orders),
 base as (select c_custkey as id, c_name as name, timestamp '2024-01-01' as at from customer where c_acctbal > 5000)
 """
 
@@ -435,7 +435,7 @@ def sql() -> dict[str, str]:
         case when one_shot then 'subscription: subscriber_id required' end,
         case when st in ('P', 'F') and one_shot then 'subscription: only one of rule_id or label_selector may be set' end,
         case when dwell_ns < 0 then 'subscription: dwell and repeat_interval must be >= 0' end) as errors from subs"""
-    q["flex_durations"] = """select l_orderkey, l_linenumber, l_quantity, case l_linenumber
+    q["flex_duration"] = """select l_orderkey, l_linenumber, l_quantity, case l_linenumber
         when 1 then l_quantity::bigint * 86400000000000
         when 2 then l_quantity::bigint * 604800000000000 + 302400000000000
         when 3 then l_quantity::bigint * 3600000000000 + 1801500000000

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import SCHEDULED, Rule, SqlReturnsRows, WindowAggregate, runnable
-from ..operators.windows import micros
+from ..operators.state import incident_table
+from ..operators.verdicts import push_verdicts
 from ..plans.alerting import AlertPlan, Carried, Subscribers, plan_alerts
 from ..session import local_table, materialize
 
@@ -104,14 +105,11 @@ class AlertStream:
         return plan
 
     def _results(self, plan: AlertPlan, carried: Carried, batch_id: int) -> None:
-        from ..operators.state import incident_table
-
         self._write(incident_table(plan.stored_incidents, plan.templates), "incidents", batch_id)
         self._write(plan.notifications, "notifications", batch_id)
         self._write(plan.live_states, "live_states", batch_id)
-        self._write(plan.stored_incidents.where("close is null").select(
-            "incident_id", "rule_id", "open_at", "open_seq", "open_measure", "open_detail"), "open_incidents", batch_id)
-        still_open = plan.stored_incidents.where("close is null").select("incident_id")
+        self._write(plan.open_incidents, "open_incidents", batch_id)
+        still_open = plan.open_incidents.select("incident_id")
         self._write(plan.sub_states, "all_sub_states", batch_id)
         self._write(self.table(plan.stored_incidents.sparkSession, "all_sub_states", batch_id)
                     .join(still_open, "incident_id", "left_semi"), "sub_states", batch_id)
@@ -135,9 +133,7 @@ def deduplicated(records: DataFrame, delay: str) -> DataFrame:
 
 def verdict_stream(records: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Stateless push verdicts of a streaming DataFrame."""
-    from ..operators.verdicts import push_verdicts
-
     return push_verdicts(records, rules)
 
 
-__all__ = ["AlertStream", "deduplicated", "verdict_stream", "micros"]
+__all__ = ["AlertStream", "deduplicated", "verdict_stream"]

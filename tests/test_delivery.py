@@ -208,3 +208,19 @@ def test_live_states_and_errors(spark):
     # A later good tick does not clear the text.
     later = plan_of(spark, ticks((20, False)), R, who, carried=Carried(live_states=merged))
     assert {r["rule_id"]: r["last_error"] for r in later.live_states.collect()}["r"] == "boom"
+
+
+def test_end_to_end_from_json(spark):
+    from klaxon import PatternMatch, Threshold, plan_alerts
+    from support import json_records
+
+    level = rule("lvl", condition=PatternMatch("level", "contains", "ERROR"))
+    total = rule("big", condition=Threshold("total", ">", 1000))
+    bodies = ['{"level":"ERROR"}'] * 3 + ['{"level":"INFO"}']
+    who = audience(spark, [subscription("a", rule_id="lvl"), subscription("b", rule_id="big", resolve=False)])
+    plan = plan_alerts(json_records(spark, list(enumerate(bodies))), [level, total], who)
+    assert sent(plan) == [("a", 0.0, "firing"), ("a", 3.0, "resolved")]
+    orders = ['{"total":%s}' % v for v in (49.99, 500, 1500, 50, 2000)]
+    plan = plan_alerts(json_records(spark, list(enumerate(orders))), [level, total], who)
+    assert sent(plan) == [("b", 2.0, "firing"), ("b", 4.0, "firing")]
+    assert [r["last_value"] for r in plan.incidents.orderBy("triggered_at").collect()] == ["1500 > 1000", "2000 > 1000"]
