@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import bpe, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,5 +26,10 @@ def op4_jump_shards(spark, sf):
     return sharding.shard_documents(_table(spark, sf, "documents"))
 
 
+@query
+def op9_byte_bpe(spark, sf):
+    return bpe.digests(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def sql() -> dict[str, str]:
     return {"op4_jump_shards": sharding.sql()}
