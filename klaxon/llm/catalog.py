@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, sharding
+from . import archives, bpe, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -31,5 +31,11 @@ def op9_byte_bpe(spark, sf):
     return bpe.digests(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op10_arc_to_warc(spark, sf):
+    rows = archives.pages_through_warc(_table(spark, sf, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def sql() -> dict[str, str]:
-    return {"op4_jump_shards": sharding.sql()}
+    return {"op4_jump_shards": sharding.sql(), "op10_arc_to_warc": archives.sql()}
