@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, bpe, sharding
+from . import archives, bpe, sharding, wavelet
+from .shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -18,6 +19,7 @@ def query(f):
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -26,6 +28,11 @@ def op4_jump_shards(spark, sf):
     return sharding.shard_documents(_table(spark, sf, "documents"))
 
 
+@query
+def op6_wavelet_shards(spark, sf):
+    return wavelet.documents_through_shards(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op9_byte_bpe(spark, sf):
     return bpe.digests(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
