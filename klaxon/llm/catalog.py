@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, bpe, sharding, wavelet
+from . import archives, bpe, quality, sharding, wavelet
 from .shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op6_wavelet_shards(spark, sf):
     return wavelet.documents_through_shards(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op8_quality_machine(spark, sf):
+    return quality.quality_of_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 @query
 def op9_byte_bpe(spark, sf):
     return bpe.digests(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
