@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, bpe, decontaminate, quality, sharding, wavelet
+from . import archives, bpe, decontaminate, minhash, quality, sharding, wavelet
 from .shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op4_jump_shards(spark, sf):
     return sharding.shard_documents(_table(spark, sf, "documents"))
 
 
+@query
+def op3_near_duplicates(spark, sf):
+    return minhash.near_duplicates(_table(spark, sf, "documents"))
+
+
 @query
 def op5_benchmark_windows(spark, sf):
     rows = decontaminate.measure(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
@@ -56,4 +61,4 @@ def op10_arc_to_warc(spark, sf):
 
 
 def sql() -> dict[str, str]:
-    return {"op4_jump_shards": sharding.sql(), "op5_benchmark_windows": decontaminate.sql(), "op10_arc_to_warc": archives.sql()}
+    return {"op3_near_duplicates": minhash.sql(), "op4_jump_shards": sharding.sql(), "op5_benchmark_windows": decontaminate.sql(), "op10_arc_to_warc": archives.sql()}
