@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, bpe, decontaminate, minhash, quality, sharding, wavelet
+from . import archives, bpe, decontaminate, minhash, quality, sharding, wavelet, wrapper
 from .shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op6_wavelet_shards(spark, sf):
     return wavelet.documents_through_shards(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op7_page_text(spark, sf):
+    return wrapper.extract_pages(_table(spark, sf, "pages"))
+
+
 @query
 def op8_quality_machine(spark, sf):
     return quality.quality_of_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
