@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-KEPT_SEGMENTS = 1_000_000
+KEPT_SEGMENTS = 1_500_000
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -50,16 +50,22 @@ class Segments:
 
     def ids(self, texts: Sequence[Sequence[str]]) -> list[np.ndarray]:
         """Ids of each text, given as its segments."""
-        seen = set().union(*texts)
-        new = [s for s in seen if s not in self.places]
-        if new and len(self.places) + len(new) > self.kept:
+        get, found = self.places.get, []
+        new: dict[str, None] = {}
+        for segments in texts:
+            index = list(map(get, segments))
+            missing = [i for i, place in enumerate(index) if place is None] if None in index else []
+            new.update((segments[i], None) for i in missing)
+            found.append((index, missing))
+        if new and self.places and len(self.places) + len(new) > self.kept:
             self.clear()
-            new = list(seen)
+            return self.ids(texts)
         if new:
-            self._add(new)
-        at = self.places
+            self._add(list(new))
         out = []
-        for segments in texts:
-            index = np.fromiter(map(at.__getitem__, segments), np.int64, len(segments))
+        for segments, (index, missing) in zip(texts, found):
+            for i in missing:
+                index[i] = self.places[segments[i]]
+            index = np.array(index, np.int64)
             out.append(self.flat[gather(self.starts[index], self.lengths[index])])
         return out

@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 from ..session import materialize, shared_folder
 from .archives import open_folder
 from .bpe import batches
-from .segments import Segments
+from .segments import Segments, gather
 
 MAGIC = b"WVM1"
 BLOCK_BITS = 1 << 17
 SHARD_IDS = 2_000_000
 END_ID = 1
+JOINED_WORDS = 1000
 
 
 def build(ids: np.ndarray, width: int | None = None) -> tuple[list[np.ndarray], list[int]]:
@@ -208,25 +209,49 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.stops = {c: self._plain([c])[0] for c in ".,"}
+        self.stops = {c: self._plain([c])[0][0] for c in ".,"}
         self.whole = Segments(self._encode)
         self.letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of words of letters only: each ends with the one id that closes a word, so they share a call."""
+        joined = [" ".join(words[i:i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)]
+        ids = np.array([i for found in self._plain(joined) for i in found], np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("a word of letters was not one word of the vocabulary")
+        return ids, np.diff(ends, prepend=0)
+
     def _encode(self, segments: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        stems: dict[str, int] = {}
-        parts = []
-        for s in segments:
-            ends = s[-1:] in self.stops and self.letters.fullmatch(s[:-1]) is not None
-            stem = s[:-1] if ends else s
-            stem = stem.lower() if stem.isascii() and "<" not in stem else stem
-            parts.append((stems.setdefault(stem, len(stems)), s[-1] if ends else ""))
-        found = self._plain(list(stems))
-        rows = [found[i] + self.stops[c] if c else found[i] for i, c in parts]
-        lengths = np.array([len(r) for r in rows], np.int64)
-        return np.fromiter((i for r in rows for i in r), np.uint32, int(lengths.sum())), lengths
+        words: dict[str, int] = {}
+        others: dict[str, int] = {}
+        index, stop = np.zeros(len(segments), np.int64), np.zeros(len(segments), np.uint32)
+        for i, s in enumerate(segments):
+            last = self.stops.get(s[-1:])
+            stem = s if last is None else s[:-1]
+            if self.letters.fullmatch(stem):
+                stem = stem.lower() if stem.isascii() else stem
+                index[i] = words.setdefault(stem, len(words))
+                stop[i] = 0 if last is None else last
+            else:
+                index[i] = -1 - others.setdefault(s, len(others))
+        ids, sizes = self._words(list(words)) if words else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        found = self._plain(list(others))
+        flat = np.concatenate([ids, np.array([i for f in found for i in f], np.uint32)])
+        sizes = np.concatenate([sizes, np.array([len(f) for f in found], np.int64)])
+        index = np.where(index < 0, len(words) - 1 - index, index)
+        own, stops = sizes[index], stop > 0
+        lengths = own + stops
+        out, starts = np.zeros(int(lengths.sum()), np.uint32), np.cumsum(lengths) - lengths
+        out[gather(starts, own)] = flat[gather((np.cumsum(sizes) - sizes)[index], own)]
+        out[(starts + own)[stops]] = stop[stops]
+        return out, lengths
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         return self.whole.ids([(t or "").split(" ") for t in texts])
