@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, bpe, decontaminate, forest, minhash, quality, sharding, wavelet, wrapper
+from . import archives, bpe, decontaminate, forest, minhash, quality, secrets, sharding, wavelet, wrapper
 from .shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op4_jump_shards(spark, sf):
     return sharding.shard_documents(_table(spark, sf, "documents"))
 
 
+@query
+def op1_secret_findings(spark, sf):
+    return secrets.findings(_table(spark, sf, "documents"))
+
+
 @query
 def op2_nearest_vectors(spark, sf):
     vectors = _table(spark, sf, "embeddings")
