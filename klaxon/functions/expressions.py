@@ -8,7 +8,9 @@ pattern)`` and the window helpers ``avg_over(field, "30d")``. Everything else is
 Catalyst parses, types and optimises it.
 
 A missing field is NULL: comparing the field itself with ``==`` or ``!=`` is null-safe, any other
-use makes the verdict NULL, i.e. no tick at all.
+use makes the verdict NULL, i.e. no tick at all. Two fields are equal if both are numbers, texts or booleans and
+equal, or both are missing. Division follows floating point: ``x / 0`` is infinite, and comparing ``0 / 0`` is false in
+scheduled rules and no verdict in push rules. ``a ? b : c`` is a conditional.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ def _field_kind(tokens, i: int, calls: list[str], typed: Callable[[str], str | N
     for op, other in ((after, at(i + 2)), (before, at(i - 2))):
         if op[0] == "op" and op[1] in _COMPARE:
             kind = _literal_kind(other)
-            return kind or typed(tokens[i][1]) or "number"
+            return kind or typed(tokens[i][1]) or _operand_kind(tokens, i, op is after)
         if op[0] == "word" and op[1].lower() in _TEXT_TESTS:
             return "string"
     if after[0] == "word" and after[1].lower() == "in":
@@ -103,6 +105,62 @@ def _field_kind(tokens, i: int, calls: list[str], typed: Callable[[str], str | N
     return alone
 
 
+def _operand_kind(tokens, i: int, right: bool) -> str:
+    """Kind of what a field is compared with, when that is a call or a group: calls give text unless they are numeric."""
+    if right:
+        name = tokens[i + 2] if i + 2 < len(tokens) and i + 3 < len(tokens) and tokens[i + 3] == ("op", "(") else None
+    else:
+        depth, j = 0, i - 2
+        while j >= 0:
+            depth += {")": 1, "(": -1}.get(tokens[j][1], 0) if tokens[j][0] == "op" else 0
+            if depth == 0:
+                break
+            j -= 1
+        name = tokens[j - 1] if j > 0 and tokens[j] == ("op", "(") else None
+    if name is None or name[0] != "word":
+        return "number"
+    low = name[1].lower()
+    return "number" if low in _NUMBER_FUNCTIONS or low in HELPERS or low in ("len", "length", "size") else "string"
+
+
+def _plain_pair(tokens, i: int) -> bool:
+    """Does a comparison of two fields start at ``i``?"""
+    at = lambda k: tokens[k] if 0 <= k < len(tokens) else ("end", "")
+    return (at(i)[0] == "field" and at(i + 1)[0] == "op" and at(i + 1)[1] in _COMPARE and at(i + 2)[0] == "field"
+            and at(i - 1)[1] not in _ARITHMETIC and at(i + 3)[1] not in _ARITHMETIC)
+
+
+def _compare_fields(left: str, op: str, right: str, field: Callable[[str, str], str]) -> str:
+    """Comparison of two fields by what they hold; different kinds are unequal and have no order."""
+    kinds = ("number", "string", "boolean")
+    pairs = [(field(k, left), field(k, right)) for k in kinds]
+    if op in ("==", "=", "!="):
+        missing = f"({field('present', left)} IS NULL AND {field('present', right)} IS NULL)"
+        equal = " OR ".join([f"coalesce({a} = {b}, false)" for a, b in pairs] + [missing])
+        return f"(NOT ({equal}))" if op == "!=" else f"({equal})"
+    ordered = " ".join(f"WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {a} {op} {b}" for a, b in pairs[:2])
+    return f"(CASE {ordered} END)"
+
+
+def _conditional(tokens) -> tuple[int, int] | None:
+    """Places of ``?`` and its ``:`` outside of brackets."""
+    depth, question, nested = 0, None, 0
+    for j, token in enumerate(tokens):
+        if token[0] != "op":
+            continue
+        depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(token[1], 0)
+        if depth == 0 and token[1] == "?":
+            nested += 1
+            question = j if question is None else question
+        elif depth == 0 and token[1] == ":" and question is not None:
+            nested -= 1
+            if nested == 0:
+                return question, j
+    if question is not None:
+        raise ExpressionError("a conditional needs ? and :")
+    return None
+
+
 def _bare_field_compared(tokens, i: int) -> bool:
     """Is one side of the comparison a plain field or nil (which may be missing without being an error)?"""
     at = lambda k: tokens[k] if 0 <= k < len(tokens) else ("end", "")
@@ -112,6 +170,8 @@ def _bare_field_compared(tokens, i: int) -> bool:
 
 def _operand_end(tokens, i: int) -> int:
     """Index after the operand that starts at ``i`` (a literal, field, call or group)."""
+    while tokens[i] in (("op", "!"), ("op", "-")) and i + 1 < len(tokens):
+        i += 1
     if tokens[i][0] == "word" and i + 1 < len(tokens) and tokens[i + 1] == ("op", "("):
         i += 1
     if tokens[i] != ("op", "("):
@@ -139,13 +199,22 @@ def to_sql(
     tokens = _tokens(source.strip())
     if not tokens:
         raise ExpressionError("expr required")
-    return " ".join(_render(tokens, mode, field, feature, typed))
+    sql = " ".join(_render(tokens, mode, field, feature, typed))
+    return f"coalesce({sql}, false)" if mode == "scheduled" and ("op", "/") in tokens else sql
 
 
 def _render(tokens, mode, field, feature, typed, alone: str = "boolean") -> list[str]:
+    parts = _conditional(tokens)
+    if parts is not None:
+        test, then, other = tokens[:parts[0]], tokens[parts[0] + 1:parts[1]], tokens[parts[1] + 1:]
+        if not (test and then and other):
+            raise ExpressionError("a conditional needs a test and two values")
+        text = [" ".join(_render(t, mode, field, feature, typed, k)) for t, k in ((test, "boolean"), (then, alone), (other, alone))]
+        return [f"(CASE WHEN {text[0]} THEN {text[1]} ELSE {text[2]} END)"]
     out: list[str] = []
     calls: list[str] = []
     brackets: list[str] = []
+    operand, divides = 0, False  # where the left side of a comparison begins, and whether it divides
     i = 0
     while i < len(tokens):
         kind, text = tokens[i]
@@ -160,6 +229,25 @@ def _render(tokens, mode, field, feature, typed, alone: str = "boolean") -> list
             out.append(_helper(low, args[0][1], args[2][1], mode, field, feature))
             i += 6
             continue
+        if _plain_pair(tokens, i) and mode != "scheduled":
+            out.append(_compare_fields(text, follows[1], tokens[i + 2][1], field))
+            i += 3
+            continue
+        if kind == "op" and text == "(" and not (i and tokens[i - 1][0] == "word"):
+            end = _operand_end(tokens, i)
+            if _conditional(tokens[i + 1:end - 1]) is not None:
+                beside = [tokens[k] for k in (i - 1, i - 2, end, end + 1) if 0 <= k < len(tokens)]
+                compared = any(t[0] == "op" and t[1] in (*_COMPARE, *_ARITHMETIC) for t in beside)
+                kind = next((k for k in map(_literal_kind, beside) if k), "number") if compared else alone
+                out += _render(tokens[i + 1:end - 1], mode, field, feature, typed, kind)
+                i = end
+                continue
+        if kind == "op" and text in _COMPARE and divides:
+            # comparing 0 / 0 is never true
+            out[operand:] = [f"nanvl({' '.join(out[operand:])}, CAST(NULL AS DOUBLE))"]
+            divides = False
+        if kind == "op" and text in ("&&", "||", "(", ",", ")") or kind == "word" and low in ("and", "or", "not", "when", "then", "else"):
+            operand, divides = len(out) + 1, False
         if kind == "string":
             out.append(sql_string(text))
         elif kind == "field":
@@ -187,15 +275,27 @@ def _render(tokens, mode, field, feature, typed, alone: str = "boolean") -> list
                 raise ExpressionError(problem)
             out.append("RLIKE " + sql_string(java_pattern(follows[1])))
             i += 1
-        elif kind == "op" and text in ("/", "%") and i + 1 < len(tokens):
-            # Division by zero gives NULL (no verdict) instead of failing the query.
+        elif kind == "op" and text == "%" and i + 1 < len(tokens):
+            # A remainder by zero gives NULL (no verdict) instead of failing the query.
+            end = _operand_end(tokens, i + 1)
+            inner = " ".join(_render(tokens[i + 1:end], mode, field, feature, typed, "number"))
+            out.append(f"% nullif({inner}, 0)")
+            i = end
+            continue
+        elif kind == "op" and text == "/" and i + 1 < len(tokens):
+            # Floating division: times infinity and by one where the divisor is zero, else times one and by the divisor.
+            end = _operand_end(tokens, i + 1)
+            inner = " ".join(_render(tokens[i + 1:end], mode, field, feature, typed, "number"))
+            out.append(f"* if({inner} = 0, double('Infinity'), 1D) / if({inner} = 0, 1D, {inner})")
+            i, divides = end, True
+            continue
+        elif kind == "op" and text == "!" and i + 1 < len(tokens):
             end = _operand_end(tokens, i + 1)
-            operand = " ".join(_render(tokens[i + 1:end], mode, field, feature, typed, "number"))
-            out.append(f"{text} nullif({operand}, 0)")
+            out.append(f"(NOT ({' '.join(_render(tokens[i + 1:end], mode, field, feature, typed))}))")
             i = end
             continue
         elif kind == "op" and text in ("?", ";", "`"):
-            raise ExpressionError(f"unexpected {text!r}; use CASE WHEN or if(...) for conditionals")
+            raise ExpressionError(f"unexpected {text!r}")
         elif kind == "op" and text == "[":
             listed = bool(out) and out[-1].upper() == "IN"
             brackets.append(")")
@@ -208,8 +308,8 @@ def _render(tokens, mode, field, feature, typed, alone: str = "boolean") -> list
             out.append(brackets.pop())
         elif kind == "op" and text in ("==", "!=") and _bare_field_compared(tokens, i):
             out.append({"==": "<=>", "!=": "IS DISTINCT FROM"}[text])
-        elif kind == "op" and text in ("&&", "||", "!"):
-            out.append({"&&": "AND", "||": "OR", "!": "NOT"}[text])
+        elif kind == "op" and text in ("&&", "||"):
+            out.append({"&&": "AND", "||": "OR"}[text])
         else:
             if kind == "op" and text == "(":
                 calls.append(tokens[i - 1][1].lower() if i and tokens[i - 1][0] == "word"

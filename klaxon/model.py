@@ -12,9 +12,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any, NamedTuple
 
-from pyspark.sql import Column
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expressions as X
@@ -187,6 +189,24 @@ class SqlReturnsRows:
         return Template("rows=", "measure", f" (>={self.needed}?)")
 
 
+_FIELD_TYPES = {"number": "double", "text": "string", "string": "string", "boolean": "boolean", "present": "boolean"}
+
+
+@lru_cache(maxsize=100_000)
+def _analysed(expr: str, mode: str) -> str | None:
+    """Why Spark does not accept an expression as a condition, found by analysing it alone; None when it does."""
+    fields = Fields()
+    sql = X.to_sql(expr, mode, fields.name, fields.name)
+    columns = [F.lit(None).cast(_FIELD_TYPES.get(key[0], "double") if mode == PUSH else "double").alias(name)
+               for key, name in fields.wanted.items()]
+    empty = SparkSession.getActiveSession().range(0).select(F.col("id"), *columns)
+    try:
+        kind = empty.select(F.expr(sql).alias("result")).schema["result"].dataType.simpleString()
+    except PySparkException as err:
+        return str(err).strip().splitlines()[0]
+    return None if kind == "boolean" else f"the result is {kind}, not boolean"
+
+
 @dataclass(frozen=True)
 class Expression:
     """Spark SQL boolean text, or a function from :class:`Fields` to a boolean Column."""
@@ -208,7 +228,9 @@ class Expression:
             X.to_sql(self.expr, self.mode, lambda kind, name: "f", lambda agg, name, window: "f")
         except X.ExpressionError as err:
             return [f"expression: {err}"]
-        return []
+        session = SparkSession.getActiveSession()
+        problem = None if session is None else _analysed(self.expr, self.mode)
+        return [f"expression: {problem}"] if problem else []
 
     def outcome(self, fields: Fields) -> Outcome:
         if callable(self.expr):

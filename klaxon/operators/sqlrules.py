@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,18 @@ from ..session import local_table
 from ..model import SCHEDULED, Rule, SqlReturnsRows, runnable
 
 
+_QUOTED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", re.DOTALL)
+
+
+def _code(query: str) -> str:
+    """A query without its string literals and comments."""
+    return _QUOTED.sub(" ", query)
+
+
+def uses_tick(query: str) -> bool:
+    return re.search(r":tick\b", _code(query)) is not None
+
+
 class Datasources:
     """Named sets of tables that SQL rules may query.
 
@@ -31,10 +45,26 @@ class Datasources:
         """Rows of a query; ``:tick`` in it is the evaluation time."""
         if name not in self._sources:
             raise KeyError(f"datasource {name!r} is not registered")
-        args = {"tick": tick} if ":tick" in query else None
-        used = {k: v for k, v in self._sources[name].items() if "{" + k + "}" in query}
+        args = {"tick": tick} if uses_tick(query) else None
+        used = {k: v for k, v in self._sources[name].items() if "{" + k + "}" in _code(query)}
         return self.spark.sql(query, args=args, **used)
 
+    def count_by_tick(self, name: str, query: str, ticks: Sequence[tuple[int, datetime]]) -> DataFrame:
+        """(now, seq, n) of numbered ticks: result rows of a query at each, in one pass over its tables."""
+        if name not in self._sources:
+            raise KeyError(f"datasource {name!r} is not registered")
+        text, at = "", 0
+        for m in _QUOTED.finditer(query):
+            text += re.sub(r":tick\b", "__ticks.now", query[at:m.start()]) + m.group()
+            at = m.end()
+        text += re.sub(r":tick\b", "__ticks.now", query[at:])
+        used = {k: v for k, v in self._sources[name].items() if "{" + k + "}" in _code(query)}
+        table = local_table(self.spark, [(tick, i) for i, tick in ticks], "now timestamp, seq bigint")
+        counted = self.spark.sql("select __ticks.now, __ticks.seq, __rows.n from {__t} as __ticks, lateral (select count(1) as n from ("
+                                 + text + ")) as __rows", __t=table, **used)
+        counted.schema  # analysed here, so that a query that cannot be joined is known at once
+        return counted
+
     def count_rows(self, name: str, query: str, tick: datetime | None = None) -> DataFrame:
         """One row with the number of result rows (nothing else is fetched)."""
         return self.rows(name, query, tick).agg(F.count(F.lit(1)).alias("n"))
@@ -48,22 +78,37 @@ def sql_verdicts(
     """Evaluate SQL rules at the given ticks; returns (verdicts, errors).
 
     A rule whose query cannot be planned yields an error row and no verdict, so its state stays.
-    Each (rule, tick) is one aggregate query; a scheduled run passes the ticks that are due.
+    Every rule is one query over all of its ticks: without ``:tick`` its rows are counted once, and with it the ticks are joined
+    to the query laterally, so that its tables are read once. A query that cannot be joined so is run tick by tick.
     """
     spark, parts, errors = sources.spark, [], []
     for rule in runnable(rules, SCHEDULED):
         if not isinstance(rule.condition, SqlReturnsRows):
             continue
         c = rule.condition
-        for i, tick in enumerate(ticks(rule) if callable(ticks) else ticks):
+        due = list(enumerate(ticks(rule) if callable(ticks) else ticks))
+        if not due:
+            continue
+        if uses_tick(c.query):
+            try:
+                counted = sources.count_by_tick(c.data_source, c.query, due)
+                parts.append(counted.select(
+                    F.lit(rule.id).alias("rule_id"), "now", "seq", (F.col("n") >= c.needed).alias("triggered"),
+                    F.col("n").cast("double").alias("measure"), F.lit(None).cast("string").alias("detail")))
+                continue
+            except (PySparkException, KeyError):
+                pass
+        for group in [[d] for d in due] if uses_tick(c.query) else [due]:
             try:
-                counted = sources.count_rows(c.data_source, c.query, tick)
+                counted = sources.count_rows(c.data_source, c.query, group[0][1])
             except Exception as err:
-                errors.append((rule.id, tick, str(err).strip("'\"").splitlines()[0]))
+                problem = str(err).strip("'\"").splitlines()[0]
+                errors += [(rule.id, tick, problem) for _, tick in group]
                 continue
-            parts.append(counted.select(
-                F.lit(rule.id).alias("rule_id"), F.lit(tick).cast("timestamp").alias("now"),
-                F.lit(i).cast("bigint").alias("seq"), (F.col("n") >= c.needed).alias("triggered"),
+            at = F.explode(F.array(*(F.struct(F.lit(tick).cast("timestamp").alias("now"), F.lit(i).cast("bigint").alias("seq"))
+                                     for i, tick in group)))
+            parts.append(counted.select("n", at.alias("at")).select(
+                F.lit(rule.id).alias("rule_id"), "at.now", "at.seq", (F.col("n") >= c.needed).alias("triggered"),
                 F.col("n").cast("double").alias("measure"), F.lit(None).cast("string").alias("detail")))
     verdicts = parts[0] if parts else local_table(
         spark, [], "rule_id string, now timestamp, seq bigint, triggered boolean, measure double, detail string")

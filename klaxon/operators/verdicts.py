@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import ACCESSORS, compare, number_field, record_kind, text_field
 from ..functions.gotext import double_text
+from ..functions.patterns import java_pattern
 from ..model import OPS, PUSH, Fields, Rule, runnable
 from ..session import local_table
 from .timeline import Timeline
@@ -95,45 +97,75 @@ def route(records: DataFrame, rules_df: DataFrame) -> DataFrame:
             .select("input_ref", "when", "seq", F.explode("rule_ids").alias("rule_id")))
 
 
-def table_verdicts(records: DataFrame, rules_df: DataFrame, field_names: Sequence[str]) -> DataFrame:
-    """Threshold and ``contains`` rules evaluated from a rules *table*.
+TABLE_KINDS = ("threshold", "pattern_match")
 
-    For rule sets too large to compile into one projection. ``field_names`` are the record
-    fields the rules may reference. Rules meet records through an equi-join on the input, one
-    row per record, and only then fan out; records lacking a field yield ``false``.
+
+def _checked(rules_df: DataFrame) -> DataFrame:
+    """Enabled rules with their ``errors``; columns that matter to compiled rules only may be missing."""
+    from .config import validate_rules
+
+    for name, default in (("name", F.col("id")), ("severity", F.lit("info")), ("schedule_ns", F.lit(0).cast("bigint"))):
+        if name not in rules_df.columns:
+            rules_df = rules_df.withColumn(name, default)
+    return validate_rules(rules_df.where(F.col("enabled")))
+
+
+def table_problems(rules_df: DataFrame) -> DataFrame:
+    """(id, reason) of the enabled rules that :func:`table_verdicts` does not run: invalid ones and other kinds."""
+    checked = _checked(rules_df)
+    other = F.when(~F.coalesce(F.col("condition.type"), F.lit("")).isin(*TABLE_KINDS), F.lit("rules of this kind are compiled, not run from a table"))
+    reason = F.when(F.size("errors") > 0, F.array_join("errors", "; ")).otherwise(other)
+    return checked.select("id", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def table_verdicts(records: DataFrame, rules_df: DataFrame, field_names: Sequence[str] | None = None, salts: int = 8) -> DataFrame:
+    """Threshold and pattern rules evaluated from a rules *table* of any length.
+
+    Invalid rules and rules of other kinds give no verdict; :func:`table_problems` lists them. Records meet rules in a join on
+    the input; a busy input is dealt into ``salts`` parts, each with all of its rules. ``field_names`` are the record fields that
+    rules may reference, by default all that they do (their distinct names are read first). Records lacking a field yield ``false``.
     """
     kind = record_kind(records)
     record = F.col("record")
-    numbers = F.create_map(*[c for n in field_names for c in (F.lit(n), number_field(record, kind, n))])
-    texts = F.create_map(*[c for n in field_names for c in (F.lit(n), text_field(record, kind, n))])
     spec = F.from_json("condition.spec", "struct<field:string,op:string,value:double,kind:string,pattern:string>")
-    rules = (
-        rules_df.where(F.col("enabled"))
-        .select("input_ref", F.struct(F.col("id"), F.col("condition.type").alias("type"), spec.alias("s")).alias("r"))
-        .where("r.type = 'threshold' or (r.type = 'pattern_match' and r.s.kind = 'contains')")
-        .groupBy("input_ref").agg(F.collect_list("r").alias("rs"))
-    )
-    joined = (
-        records.select("input_ref", F.col("when").alias("now"), "seq", numbers.alias("nums"), texts.alias("txts"))
-        .join(rules, "input_ref")
-        .select("now", "seq", "nums", "txts", F.explode("rs").alias("r"))
-    )
-    number = F.try_element_at("nums", F.col("r.s.field"))
-    text = F.try_element_at("txts", F.col("r.s.field"))
-    hit = F.contains(text, F.col("r.s.pattern"))
-    const = F.col("r.s.value")
+    rules = _checked(rules_df).where((F.size("errors") == 0) & F.col("condition.type").isin(*TABLE_KINDS))
+    rules = rules.select("input_ref", "id", F.col("condition.type").alias("type"), spec.alias("s"))
+    if field_names is None:
+        field_names = sorted(r[0] for r in rules.select("s.field").distinct().collect())
+    none = F.create_map(F.lit(""), F.lit(None).cast("double")), F.create_map(F.lit(""), F.lit(None).cast("string"))
+    numbers, texts = (F.create_map(*[c for n in field_names for c in (F.lit(n), read(record, kind, n))]) if field_names else none[i]
+                      for i, read in enumerate((number_field, text_field)))
+    java = F.when((F.col("type") == "pattern_match") & (F.col("s.kind") == "regex"), F.col("s.pattern"))
+    rules = rules.withColumn("java", _java_patterns(java)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = records.select("input_ref", F.col("when").alias("now"), "seq", numbers.alias("nums"), texts.alias("txts"),
+                            F.pmod(F.xxhash64("when", "seq"), F.lit(salts)).cast("int").alias("salt")).join(rules, ["input_ref", "salt"])
+    number = F.try_element_at("nums", F.col("s.field"))
+    text = F.try_element_at("txts", F.col("s.field"))
+    hit = F.when(F.col("s.kind") == "regex", F.rlike(text, F.col("java"))).otherwise(F.contains(text, F.col("s.pattern")))
+    const = F.col("s.value")
     test = F.lit(None).cast("boolean")
     for op in OPS:
-        test = F.when(F.col("r.s.op") == op, _compare_columns(op, number, const)).otherwise(test)
-    is_threshold = F.col("r.type") == "threshold"
+        test = F.when(F.col("s.op") == op, _compare_columns(op, number, const)).otherwise(test)
+    is_threshold = F.col("type") == "threshold"
     return joined.select(
-        F.col("r.id").alias("rule_id"), "now", "seq",
+        F.col("id").alias("rule_id"), "now", "seq",
         F.coalesce(F.when(is_threshold, test).otherwise(hit), F.lit(False)).alias("triggered"),
         F.when(is_threshold, number).otherwise(F.when(text.isNotNull(), F.lit(1.0))).alias("measure"),
         F.lit(None).cast("string").alias("detail"),
     )
 
 
+def _java_patterns(patterns: Column) -> Column:
+    """Patterns in Java's spelling; distinct ones of a batch are translated once."""
+
+    @F.pandas_udf("string")
+    def translate(values: pd.Series) -> pd.Series:
+        known = {p: java_pattern(p) for p in values.dropna().unique()}
+        return pd.Series([known.get(p) for p in values], dtype=object)
+
+    return translate(patterns)
+
+
 def _compare_columns(op: str, a: Column, b: Column) -> Column:
     plain = ~F.isnan(a) & ~F.isnan(b)
     return {">": plain & (a > b), ">=": plain & (a >= b), "<": plain & (a < b), "<=": plain & (a <= b),

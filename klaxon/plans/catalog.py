@@ -192,6 +192,44 @@ def coerce_string(spark, sf):
 # ---- push rules ----------------------------------------------------------------------------------
 
 
+def paired_records(spark, sf) -> DataFrame:
+    """JSON records with fields ``a`` and ``b`` of equal, different, missing and null values of several types."""
+    kind, value = F.col("event_type"), F.col("value").cast("string")
+    body = (F.when(kind == "click", F.concat(F.lit('{"a":'), value, F.lit(',"b":'), value, F.lit("}")))
+            .when(kind == "view", F.lit('{"a":"x","b":"y"}')).when(kind == "signup", F.lit('{"a":"x","b":"x","t":"signup\\n"}'))
+            .when(kind == "error", F.lit('{"a":null}')).otherwise(F.lit('{"a":5,"b":"5"}')))
+    return R.decode_json(read(spark, sf, "events").select(
+        F.lit("events").alias("input_ref"), body.alias("body"), F.col("ts").cast("timestamp").alias("when"), F.col("event_id").alias("seq")))
+
+
+@query
+def expression_fields(spark, sf):
+    rules = [Rule(i, "n", "events", Expression(f"record.a {op} record.b")) for i, op in (("eq", "=="), ("ne", "!="), ("lt", "<"))]
+    return verdict_rows(paired_records(spark, sf), *rules)
+
+
+@query
+def expression_invalid(spark, sf):
+    texts = {"good": "record.value > 100", "syntax": "record.value >", "number": "record.value + 1", "unknown": "nope(record.value) > 1",
+             "nested": "record.value.x == 1"}
+    rules = [Rule(i, "n", "events", Expression(t)) for i, t in texts.items()]
+    ticks = push_verdicts(event_records(spark, sf), rules).groupBy("rule_id").agg(
+        F.count("*").alias("ticks"), F.count_if("triggered").alias("hits"))
+    listed = local_table(spark, [(r.id, bool(r.errors())) for r in rules], "rule_id string, invalid boolean")
+    return listed.join(ticks, "rule_id", "left").na.fill(0, ["ticks", "hits"])
+
+
+@query
+def pattern_dialect(spark, sf):
+    rules = [Rule(f"p{i}", "n", "events", PatternMatch("event_type", "regex", p)) for i, p in enumerate(DIALECT)]
+    ends = [Rule("end", "n", "events", PatternMatch("t", "regex", "p$")), Rule("dot", "n", "events", PatternMatch("t", "regex", "p.$"))]
+    return verdict_rows(event_records(spark, sf), *rules).unionByName(verdict_rows(paired_records(spark, sf), *ends))
+
+
+DIALECT = (r"^[[:alpha:]]+$", r"^[[:^digit:]]{5}$", r"\pL{6}", r"\p{Latin}k$", r"c(?i)LICK", r"^[a&&z]", r"[[x]", r"\Qc\Elick", r"\x{63}l",
+           r"(?P<a_b>vi)(?P<ab>ew)", r"(?s)^.{4}$")
+
+
 def verdict_rows(records, *rules) -> DataFrame:
     return plain(push_verdicts(records, rules).select("rule_id", "now", "seq", "triggered"))
 
@@ -365,6 +403,15 @@ def expression_scheduled(spark, sf):
                  .select("rule_id", "now", "triggered"))
 
 
+@query
+def expression_ratio(spark, sf):
+    ratio = lambda top, over: Expression(f'count_over("{top}", "1d") / count_over("{over}", "1d") > 1.5', "scheduled")
+    rules = [Rule("none", "n", "events", ratio("nope", "nope"), schedule_ns=6 * HOUR),
+             Rule("infinite", "n", "events", ratio("value", "nope"), schedule_ns=6 * HOUR),
+             Rule("one", "n", "events", ratio("value", "user_id"), schedule_ns=6 * HOUR)]
+    return plain(windows.window_verdicts(event_records(spark, sf), rules, START, END).select("rule_id", "now", "triggered"))
+
+
 ORDER_RULES = (
     Rule("late", "Late", "orders", SqlReturnsRows(
         "dw", "select 1 from {orders} where o_orderstatus = 'P' and o_orderdate < :tick "
@@ -373,7 +420,13 @@ ORDER_RULES = (
          schedule_ns=DAY_NS),
     Rule("lost", "Lost", "orders", SqlReturnsRows("unknown", "select 1"), schedule_ns=DAY_NS),
 )
-SQL_TICKS = tuple(datetime(2000, m, 1) for m in range(1, 13))
+
+
+def order_months(spark, sf) -> list[datetime]:
+    """First days of all months that have orders."""
+    low, high = read(spark, sf, "orders").agg(F.date_trunc("month", F.min("o_orderdate")), F.max("o_orderdate")).first()
+    months = spark.range(1).select(F.explode(F.sequence(F.lit(low), F.lit(high), F.expr("interval 1 month"))).alias("m"))
+    return [r["m"] for r in months.orderBy("m").collect()]
 
 
 def _warehouse(spark, sf) -> Datasources:
@@ -387,13 +440,13 @@ def sql_count_rows(spark, sf):
 
 @query
 def sql_returns_rows(spark, sf):
-    rows, _ = sql_verdicts(_warehouse(spark, sf), ORDER_RULES, SQL_TICKS)
+    rows, _ = sql_verdicts(_warehouse(spark, sf), ORDER_RULES, order_months(spark, sf))
     return plain(rows.select("rule_id", "now", "triggered", F.col("measure").cast("bigint").alias("n")))
 
 
 @query
 def live_state_errors(spark, sf):
-    rows, errors = sql_verdicts(_warehouse(spark, sf), ORDER_RULES, SQL_TICKS)
+    rows, errors = sql_verdicts(_warehouse(spark, sf), ORDER_RULES, order_months(spark, sf))
     timeline = plan_timeline(rows, when="now")
     incidents = state.incidents_of(state.local_runs(state.sliced(rows, timeline)))
     states = state.live_states(state.last_verdicts(rows), incidents, value_templates(spark, ORDER_RULES), errors)

@@ -320,7 +320,18 @@ def sql() -> dict[str, str]:
         ("len", "length(event_type) > 5"), ("lower", "event_type = 'click'"), ("in", "event_type in ('click', 'view')"),
         ("starts", "event_type like 'p%'"), ("ends", "event_type like '%r'"), ("contains", "event_type like '%ie%'"),
         ("matches", "event_type = 'signup'"), ("case", "event_type = 'view' and value > 50"),
-        ("math", "value / nullif(user_id, 0) > 1.5")) + ") where triggered is not null"
+        ("math", "case when user_id = 0 then value > 0 else value / user_id > 1.5 end")) + ") where triggered is not null"
+    q["expression_fields"] = "select * from (" + _push(
+        ("eq", "event_type in ('click', 'signup', 'error')"), ("ne", "event_type in ('view', 'purchase')"),
+        ("lt", "case when event_type in ('click', 'view', 'signup') then event_type = 'view' end")) + ") where triggered is not null"
+    q["expression_invalid"] = """select 'good' as rule_id, false as invalid, count(*)::bigint as ticks,
+        count(*) filter (value > 100)::bigint as hits from events
+        union all select unnest(['syntax', 'number', 'unknown', 'nested']), true, 0, 0"""
+    from .catalog import DIALECT
+
+    q["pattern_dialect"] = _push(*((f"p{i}", f"regexp_matches(event_type, '{p}')") for i, p in enumerate(DIALECT)),
+                                 ("end", "event_type = 'signup' and regexp_matches(event_type || chr(10), 'p$')"),
+                                 ("dot", "event_type = 'signup' and regexp_matches(event_type || chr(10), 'p.$')"))
     q["expression_push_window_zero"] = _push(("zero", "true"), ("mixed", "value > 100"))
     q["rule_routing"] = """select event_type as input_ref, ts as "when", event_id as seq, rule_id from events
         join (values ('a', 'click'), ('b', 'click'), ('d', 'error'), ('e', 'none')) r(rule_id, ref) on ref = event_type"""
@@ -355,7 +366,13 @@ def sql() -> dict[str, str]:
         union all select 'no-data', timestamp '2024-01-01' + i * interval 6 hour, true from generate_series(0, 120) g(i)
         union all select 'stub', timestamp '2024-01-01' + i * interval 12 hour, false from generate_series(0, 60) g(i)
         union all select 'bad', timestamp '2024-01-01' + i * interval 12 hour, true from generate_series(0, 60) g(i)"""
-    months = """m as (select timestamp '2000-01-01' + to_months(i::int) as now from generate_series(0, 11) g(i)),
+    six = "t as (select timestamp '2024-01-01' + i * interval 6 hour as now from generate_series(0, 120) g(i))"
+    q["expression_ratio"] = f"""with {six}, n as (select now, count(value) as n from t left join events
+          on ts between now - interval 1 day and now group by now)
+        select 'none' as rule_id, now, false as triggered from t union all select 'infinite', now, n > 0 from n
+        union all select 'one', now, false from t"""
+    months = """b as (select date_trunc('month', min(o_orderdate)) as a, max(o_orderdate) as z from orders),
+        m as (select a + to_months(i::int) as now from b, generate_series(0, 1200) g(i) where a + to_months(i::int) <= z),
         late as (select now, count(o_orderkey)::bigint as n from m left join orders on o_orderstatus = 'P'
                  and o_orderdate < now and o_orderdate >= now - interval 30 day group by now),
         anyn as (select count(*)::bigint as n from orders where o_totalprice > 499000)"""
@@ -373,7 +390,7 @@ def sql() -> dict[str, str]:
                     (f.last_false is null or v.now > f.last_false)) end as triggered_at,
                last_at as last_eval_at, 'rows=' || n || ' (>=' || need || '?)' as last_value, false as failed
         from l join f on f.rule_id = l.rule_id
-        union all select 'lost', 'ok', null, timestamp '2000-12-01', '', true"""
+        union all select 'lost', 'ok', null, (select max(now) from m), '', true"""
     q["transitions"] = f"""with {INCIDENTS}
         select rule_id, incident_id, open_at as now, 'ok' as prev, 'firing' as next, {value_text('true', 'open_m')} as value
         from inc join rules using (rule_id)

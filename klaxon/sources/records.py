@@ -84,7 +84,10 @@ def scrape_records(documents: DataFrame, targets: DataFrame) -> DataFrame:
         targets.select(F.col("name").alias("target"), F.coalesce(F.nullif("field", F.lit("")), F.lit("value")).alias("field")),
         "target")
     doc = parse_object(F.col("body"))
-    value = F.try_variant_get(F.col("doc"), F.concat(F.lit("$['"), F.col("field"), F.lit("']")), "variant")
+    # a name with both kinds of quotes cannot be addressed and gives no record
+    path = F.when(~F.contains("field", F.lit("'")), F.concat(F.lit("$['"), F.col("field"), F.lit("']"))).when(
+        ~F.contains("field", F.lit('"')), F.concat(F.lit('$["'), F.col("field"), F.lit('"]')))
+    value = F.try_variant_get(F.col("doc"), path, "variant")
     record = F.to_variant_object(F.struct(F.col("v").alias("value"), F.col("target").alias("source")))
     return (
         joined.where(F.expr("status div 100") == 2).withColumn("doc", doc).withColumn("v", value)

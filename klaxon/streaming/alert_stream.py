@@ -18,7 +18,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import SCHEDULED, Rule, SqlReturnsRows, WindowAggregate, runnable
+from ..model import SCHEDULED, Fields, Rule, SqlReturnsRows, runnable
 from ..operators.state import incident_table
 from ..operators.verdicts import push_verdicts
 from ..plans.alerting import AlertPlan, Carried, Subscribers, plan_alerts
@@ -32,7 +32,7 @@ class AlertStream:
     """State folder, rules and audience of one alerting stream.
 
     ``start`` is the origin of the scheduled ticks. ``horizon`` bounds how far back windows reach; by
-    default the longest window of the rules.
+    default the longest window that any scheduled rule reads, in aggregates and in expressions.
     """
 
     folder: str
@@ -58,9 +58,12 @@ class AlertStream:
     def _reach(self) -> timedelta:
         if self.horizon is not None:
             return self.horizon
-        longest = max([r.condition.window_ns for r in self.rules if isinstance(r.condition, WindowAggregate)],
-                      default=24 * 3600 * 10**9)
-        return timedelta(microseconds=longest // 1000)
+        features = Fields()
+        for rule in runnable(self.rules, SCHEDULED):
+            if not isinstance(rule.condition, SqlReturnsRows):
+                rule.condition.outcome(features)
+        longest = max([window_ns for _, _, window_ns in features.wanted], default=0)
+        return timedelta(microseconds=-(-longest // 1000))
 
     def process(self, records: DataFrame, batch_id: int, final: bool = False) -> AlertPlan | None:
         """Handle one micro-batch; pass it (or a wrapper) to ``writeStream.foreachBatch``.

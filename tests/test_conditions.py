@@ -71,7 +71,7 @@ def test_expression_verdicts(spark):
     assert run("record.level == nil") == {0: False, 1: False, 2: True}
     assert run('record.level in ["ERROR", "WARN"] && !(record.v > 5)') == {0: True, 1: False}
     assert run('"ERROR" == record.level || false') == {0: True, 1: False, 2: False}
-    assert run("record.v / 0 > 1") == {}
+    assert run("record.v / 0 > 1") == {0: True}                  # floating division: infinite
     assert run('len(record.host) == 5 and record.host startsWith "web"') == {0: True, 1: False}
     assert outcomes(spark, bodies, Expression("record.v  >\n 2"))[0] == (True, "record.v > 2 -> true")
     assert outcomes(spark, bodies, Expression(lambda f: f.number("v") > 2))[0][0]
@@ -129,7 +129,38 @@ def test_custom_condition(spark):
 
 def test_patterns_dialect():
     assert pattern_error("a(?=b)") and pattern_error(r"(a)\1") and pattern_error("a(") and not pattern_error("(?P<n>a)")
-    assert java_pattern("(?P<na_me>a)") == "(?<name>a)"
+    assert pattern_error("(?U)a+") and pattern_error("[[:nope:]]") and pattern_error(r"\x{FFFFFFF}")
+    assert java_pattern("(?P<na_me>a)(?P<name>b)") == "(?d)(a)(b)"
+    assert java_pattern(r"^[[:digit:]&&x]+$|\Q$\E") == r"(?d)^[\p{Digit}\&\&x]+\z|\Q$\E"
+    for fine in (r"\pN", r"\p{Greek}", r"a(?i)b", r"\x{41}", r"\Qa.(\E", "[[a]"):
+        assert pattern_error(fine) is None, fine
+
+
+def test_field_comparisons(spark):
+    bodies = ['{"a":"x","b":"y"}', '{"a":"x","b":"x"}', '{"a":123,"b":"z"}', '{"a":42}', "{}", '{"a":1,"b":1.0}', '{"a":null}', '{"a":true,"b":true}']
+    equal = outcomes(spark, bodies, Expression("record.a == record.b"))
+    assert [equal[i][0] for i in range(8)] == [False, True, False, False, True, True, True, True]
+    other = outcomes(spark, bodies, Expression("record.a != record.b"))
+    assert [other[i][0] for i in range(8)] == [True, False, True, True, False, False, False, False]
+    order = outcomes(spark, bodies, Expression("record.a < record.b"))
+    assert {i: v[0] for i, v in order.items()} == {0: True, 1: False, 5: False}
+    lower = outcomes(spark, ['{"a":"X","b":"x"}', '{"a":"X","b":1}'], Expression("lower(record.a) == record.b"))
+    assert [lower[i][0] for i in sorted(lower)] == [True, False]
+
+
+def test_division_and_conditionals(spark):
+    bodies = ['{"a":4,"b":2}', '{"a":4,"b":0}', '{"a":0,"b":0}', '{"a":-1,"b":0}']
+    ratio = outcomes(spark, bodies, Expression("record.a / record.b > 1.5"))
+    assert {i: v[0] for i, v in ratio.items()} == {0: True, 1: True, 3: False}
+    chosen = outcomes(spark, bodies, Expression("(record.b == 0 ? 0 - record.a : record.a) > 0"))
+    assert [chosen[i][0] for i in range(4)] == [True, False, False, True]
+    flags = outcomes(spark, ['{"f":true,"n":5}', '{"f":false,"n":5}'], Expression("!record.f && record.n == 5"))
+    assert [flags[i][0] for i in range(2)] == [False, True]
+
+
+@pytest.mark.parametrize("text", ["record.n + 1", "record.n >", "nope(record.n) > 1", "record.a.c == 1", "a ? b", "(record.n > 1"])
+def test_bad_expressions_are_errors(spark, text):
+    assert Expression(text).errors()
 
 
 NUMBERS = [185.0, 100.5, 1e7, 1e-4, 123456789.125, -0.5, 0.0, 1e20, 1e21, 1.25e22, 1e-5, 2.5e-7, 123456789012345680.0,

@@ -1,7 +1,9 @@
 import random
 from datetime import timedelta
 
-from klaxon import PatternMatch, Threshold, WindowAggregate, plan_alerts
+import pytest
+
+from klaxon import Expression, PatternMatch, Threshold, WindowAggregate, plan_alerts
 from klaxon.sources.records import as_records
 from klaxon.session import local_table
 from klaxon.streaming.alert_stream import AlertStream, deduplicated, verdict_stream
@@ -59,6 +61,23 @@ def test_stream_equals_batch(spark, tmp_path):
     assert stream.table(spark, "notifications").count() == before
 
 
+@pytest.mark.parametrize("scheduled", [
+    [rule("short", condition=WindowAggregate("v", "max", 60 * SEC, ">", 100), schedule_ns=60 * SEC),
+     rule("long", condition=Expression('count_over("v", "10m") >= 3', "scheduled"), schedule_ns=60 * SEC)],
+    [rule("days", condition=Expression('count_over("v", "3d") >= 3', "scheduled"), schedule_ns=12 * 3600 * SEC)],
+])
+def test_stream_keeps_what_expressions_read(spark, tmp_path, scheduled):
+    step = 240 if len(scheduled) == 2 else 86_400
+    data = [(at(i * step), i, 1.0, "") for i in range(5)]
+    who = audience(spark, [subscription("s", rule_id=scheduled[-1].id)])
+    stream = AlertStream(str(tmp_path / "s"), scheduled, who, at(0))
+    for i, row in enumerate(data):
+        stream.process(as_records(local_table(spark, [row], DDL), "t", "n"), i)
+    batch = plan_alerts(as_records(local_table(spark, data, DDL), "t", "n"), scheduled, who, at(0), data[-1][0])
+    columns = ("id", "rule_id", "triggered_at", "resolved_at")
+    assert batch.incidents.count() and keys(stream.incidents(spark), *columns) == keys(batch.incidents, *columns)
+
+
 def test_late_and_waiting_records(spark, tmp_path):
     stream = AlertStream(str(tmp_path / "s"), RULES[:1], people(spark), at(0), delay=timedelta(seconds=10))
     batch = lambda *seconds: as_records(local_table(spark, [(at(s), s, 9.0 if s == 12 else 0.0, "") for s in seconds], DDL), "t", "n")
