@@ -220,13 +220,28 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and lengths of words of letters only: each ends with the one id that closes a word, so they share a call."""
-        joined = [" ".join(words[i:i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)]
-        ids = np.array([i for found in self._plain(joined) for i in found], np.uint32)
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) != len(words):
+        """Ids and lengths of lower-case words of letters only.
+
+        ASCII ones go straight to the library's BPE model, as the other steps leave them as they are. The rest share calls: each
+        ends with the one id that closes a word.
+        """
+        plain = np.array([w.isascii() for w in words], bool)
+        tokenize, sizes, flat = self.tokenizer.model.tokenize, np.zeros(len(words), np.int64), []
+        for i in np.flatnonzero(plain):
+            found = tokenize(words[i])
+            sizes[i] = len(found)
+            flat += [t.id for t in found]
+        others = [w for w in words if not w.isascii()]
+        joined = [" ".join(others[i:i + JOINED_WORDS]) for i in range(0, len(others), JOINED_WORDS)]
+        rest = np.array([i for found in self._plain(joined) for i in found], np.uint32)
+        ends = np.flatnonzero(self.closes[rest]) + 1
+        if len(ends) != len(others):
             raise ValueError("a word of letters was not one word of the vocabulary")
-        return ids, np.diff(ends, prepend=0)
+        sizes[~plain] = np.diff(ends, prepend=0)
+        starts, out = np.cumsum(sizes) - sizes, np.zeros(int(sizes.sum()), np.uint32)
+        out[gather(starts[plain], sizes[plain])] = flat
+        out[gather(starts[~plain], sizes[~plain])] = rest
+        return out, sizes
 
     def _encode(self, segments: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         words: dict[str, int] = {}
