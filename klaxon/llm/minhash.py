@@ -15,7 +15,7 @@ against the members outside its largest component. Every candidate pair is thus
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -100,20 +100,23 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int] = SIMILARITY
     return similarity[1] * shared >= similarity[0] * (len(a) + len(b) - shared)
 
 
+@lru_cache
 def mismatch_bounds(batches=BATCHES, similarity: float = SIMILARITY[0] / SIMILARITY[1], miss: float = MISS) -> list[int]:
     """Most differing bits after each batch with which the similarity may still reach the wanted one.
 
     With a uniform prior on J and m of n bits differing, the posterior is proportional to ((1 - J) / 2)^m ((1 + J) / 2)^(n - m); the bound is the
     largest m that leaves at least ``miss`` above ``similarity``.
     """
-    grid = (np.arange(20_000) + 0.5) / 20_000
+    grid = (np.arange(2000) + 0.5) / 2000
+    differ, agree = np.log((1 - grid) / 2), np.log((1 + grid) / 2)
     bounds = []
     for n in batches:
-        m = np.arange(n + 1)[:, None]
-        log = m * np.log((1 - grid) / 2) + (n - m) * np.log((1 + grid) / 2)
-        weight = np.exp(log - log.max(axis=1, keepdims=True))
-        above = weight[:, grid >= similarity].sum(axis=1) / weight.sum(axis=1)
-        bounds.append(int(np.flatnonzero(above >= miss).max()))
+        for m in range(n, -1, -1):
+            log = m * differ + (n - m) * agree
+            weight = np.exp(log - log.max())
+            if weight[grid >= similarity].sum() >= miss * weight.sum():
+                bounds.append(m)
+                break
     return bounds
 
 
