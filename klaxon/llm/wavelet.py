@@ -28,14 +28,13 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, shared_folder
 from .archives import open_folder
-from .bpe import batches
+from .bpe import batches, byte_letters
 from .segments import Segments, gather
 
 MAGIC = b"WVM1"
 BLOCK_BITS = 1 << 17
 SHARD_IDS = 2_000_000
 END_ID = 1
-JOINED_WORDS = 1000
 
 
 def build(ids: np.ndarray, width: int | None = None) -> tuple[list[np.ndarray], list[int]]:
@@ -199,7 +198,7 @@ class Shard:
 class WordEncoder:
     """Ids of the tokenizers library for whole texts, by distinct segments.
 
-    Texts are cut at spaces: the normalizer (NFC, white space, lower case) and the splitting pattern of this vocabulary
+    Texts are cut at spaces and line feeds: the normalizer (NFC, white space, lower case) and the splitting pattern of this vocabulary
     never join across one. A full stop or comma after plain Latin letters is cut off as well, as the pattern splits there.
     """
 
@@ -212,36 +211,23 @@ class WordEncoder:
         self.stops = {c: self._plain([c])[0][0] for c in ".,"}
         self.whole = Segments(self._encode)
         self.letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-        vocab = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocab.values()) + 1, bool)
-        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        letters = byte_letters()
+        self.spelled = {c: "".join(letters[b] for b in chr(c).encode("utf-8")) for c in range(0x80, 0x100)}
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and lengths of lower-case words of letters only.
+        """Ids and lengths of lower-case words of Latin letters, by the library's BPE model.
 
-        ASCII ones go straight to the library's BPE model, as the other steps leave them as they are. The rest share calls: each
-        ends with the one id that closes a word.
+        The library's other steps leave such words as they are, but for spelling their bytes as letters.
         """
-        plain = np.array([w.isascii() for w in words], bool)
         tokenize, sizes, flat = self.tokenizer.model.tokenize, np.zeros(len(words), np.int64), []
-        for i in np.flatnonzero(plain):
-            found = tokenize(words[i])
+        for i, word in enumerate(words):
+            found = tokenize(word if word.isascii() else word.translate(self.spelled))
             sizes[i] = len(found)
             flat += [t.id for t in found]
-        others = [w for w in words if not w.isascii()]
-        joined = [" ".join(others[i:i + JOINED_WORDS]) for i in range(0, len(others), JOINED_WORDS)]
-        rest = np.array([i for found in self._plain(joined) for i in found], np.uint32)
-        ends = np.flatnonzero(self.closes[rest]) + 1
-        if len(ends) != len(others):
-            raise ValueError("a word of letters was not one word of the vocabulary")
-        sizes[~plain] = np.diff(ends, prepend=0)
-        starts, out = np.cumsum(sizes) - sizes, np.zeros(int(sizes.sum()), np.uint32)
-        out[gather(starts[plain], sizes[plain])] = flat
-        out[gather(starts[~plain], sizes[~plain])] = rest
-        return out, sizes
+        return np.array(flat, np.uint32), sizes
 
     def _encode(self, segments: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         words: dict[str, int] = {}
@@ -251,7 +237,7 @@ class WordEncoder:
             last = self.stops.get(s[-1:])
             stem = s if last is None else s[:-1]
             if self.letters.fullmatch(stem):
-                stem = stem.lower() if stem.isascii() else stem
+                stem = stem.lower()
                 index[i] = words.setdefault(stem, len(words))
                 stop[i] = 0 if last is None else last
             else:
@@ -269,7 +255,7 @@ class WordEncoder:
         return out, lengths
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        return self.whole.ids([(t or "").split(" ") for t in texts])
+        return self.whole.ids([(t or "").replace("\n", " ").split(" ") for t in texts])
 
 
 @lru_cache(maxsize=2)
