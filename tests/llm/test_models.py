@@ -1,0 +1,109 @@
+import random
+
+import numpy as np
+
+from klaxon.llm import forest, quality, secrets
+from klaxon.session import local_table
+from support_llm import documents, rows
+
+
+def corpus(n=400, seed=9):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice(("the", "an", "er", "ou", "st", "ing")) for _ in range(rnd.randint(1, 3)))
+    out = []
+    for i in range(n):
+        words = [word() for _ in range(rnd.randint(5, 120))]
+        junk = i % 4 == 3
+        if junk:
+            words = [w.upper() + "!!" for w in words] if i % 8 == 3 else [w for w in words for _ in range(6)]
+        out.append((i, " ".join(words), int(not junk)))
+    return out
+
+
+def test_quality_on_held_out_rows(spark):
+    data = corpus()
+    docs = documents(spark, [(i, t) for i, t, _ in data] + [(1000, None), (1001, ""), (None, "x y"), (5, data[5][1]), (1002, "a" * 200_000)])
+    labels = local_table(spark, [(i, q, 0) for i, _, q in data if i % 5] + [(77777, 1, 0), (None, 0, 0), (12, None, 0), (13, 1, 1), (13, 0, 1)],
+                         "doc_id bigint, quality int, toxic int")
+    got = quality.quality_of_documents(docs, labels).collect()
+    assert len(got) == len(data) + 5 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    truth = {i: q for i, _, q in data}
+    held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
+    right = sum(r["predicted"] == truth[r["doc_id"]] for r in held)
+    assert len(held) > 60 and right / len(held) > 0.95
+    again = quality.quality_of_documents(docs, labels).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    swapped = labels.withColumn("quality", labels["quality"] * 0)
+    assert {r["predicted"] for r in quality.quality_of_documents(docs, swapped).collect()} == {0}
+    assert {r["predicted"] for r in quality.quality_of_documents(docs, labels.limit(0)).collect()} == {1}
+    assert quality.quality_of_documents(docs.limit(0), labels).count() == 0
+
+
+def test_sum_of_squares_identity():
+    rng = np.random.default_rng(1)
+    machine = quality.Machine(0.3, rng.normal(size=quality.FEATURES), rng.normal(size=(quality.FEATURES, quality.FACTORS)))
+    i, x, n = quality.features(["some words here, some", None], [None, 3])
+    got = machine.margins(i, x, n)
+    for r in range(2):
+        at = slice(int(n[:r].sum()), int(n[:r + 1].sum()))
+        j, y = i[at], x[at]
+        pairs = sum(machine.factors[j[a]] @ machine.factors[j[b]] * y[a] * y[b] for a in range(len(j)) for b in range(a))
+        assert np.isclose(got[r], 0.3 + (machine.weights[j] * y).sum() + pairs)
+
+
+def test_secrets(spark):
+    rnd = random.Random(2)
+    hexes = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    data, want = [], set()
+    for i in range(60):
+        key, token = "AKIA" + "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), hexes(40)
+        text = {0: f"some words {key} and more", 1: f'é token = "{token}" end', 2: f"call 4{rnd.randint(10**14, 10**15 - 1)} or mail12345@x.example.com",
+                3: f"password={hexes(15)}1 and again password={hexes(15)}1"}[i % 4]
+        data.append((i, text))
+        if i % 4 == 0:
+            want.add((i, text.index(key)))
+        elif i % 4 == 1:
+            want.add((i, text.index(token)))
+        elif i % 4 == 3:
+            want |= {(i, m) for m in (9, text.rindex("=") + 1)}
+    odd = [(100, None), (101, ""), (None, data[0][1]), (0, data[0][1]), (102, "1" * 5000), (103, "a1" * 20_000), (104, "no digits at all")]
+    docs = documents(spark, data + odd)
+    found = secrets.scan(docs).collect()
+    assert {(r["doc_id"], r["start"]) for r in found if r["secret"]} - {(None, 11)} == want
+    clean = secrets.redacted(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    texts = {r["doc_id"]: (r["text"], r["n_chars"]) for r in clean.collect()}
+    assert texts[0] == ("some words [SECRET] and more", 28) and texts[1] == ('é token = "[SECRET]" end', 24)
+    assert texts[3][0] == "password=[SECRET] and again password=[SECRET]"
+    assert all(texts[i][0] == t for i, t in data if i % 4 == 2) and texts[100] == (None, None) and texts[103][0] == "a1" * 20_000
+    assert secrets.findings(docs.limit(0)).count() == 0
+    only = local_table(spark, [(0, 11, 0)], "doc_id bigint, start int, label int")
+    assert secrets.scan(docs, only).where("secret").count() == 0
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 16))
+    x = (centres[np.arange(900) % 6] + 0.6 * rng.normal(size=(900, 16))).astype("f4")
+    x[10] = x[11] = x[12] = x[13]
+    data = [(i, [float(v) for v in row], 0, "v") for i, row in enumerate(x)]
+    odd = [(2000, None, 0, ""), (2001, [0.0] * 16, 0, ""), (2002, [float("nan")] * 16, 0, ""), (2003, [1.0] * 5, 0, ""), (None, [1.0] * 16, 0, ""),
+           (2004, [], 0, ""), (2005, [None] * 16, 0, ""), (30, data[30][1], 0, "")]
+    frame = local_table(spark, data + odd, "vec_id bigint, embedding array<float>, label int, leaf string")
+    queries = frame.where("vec_id % 10 = 0")
+    got = forest.neighbours(frame, queries).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        by.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    wide, hits = x.astype("f8"), 0
+    for q in range(0, 900, 10):
+        gap = np.sqrt(((wide - wide[q]) ** 2).sum(1))
+        order = [int(i) for i in np.lexsort((np.arange(900), gap)) if i != q][:10]
+        assert len(by[q]) == 10 and all(abs(s - gap[v]) < 1e-12 for v, s in by[q])
+        assert [s for _, s in by[q]] == sorted(s for _, s in by[q])
+        hits += len(set(order) & {v for v, _ in by[q]})
+    assert set(by) == set(range(0, 900, 10)) and hits / 900 >= 0.9
+    assert [v for v, _ in by[10]][:3] == [11, 12, 13]
+    few = forest.neighbours(frame.where("vec_id in (1, 2, 3)"), frame.where("vec_id = 1"))
+    assert rows(few, "query_id", "rank") == [(1, 1), (1, 2)]
+    assert forest.neighbours(frame.limit(0), frame).count() == 0
