@@ -2,7 +2,7 @@
 
 Values such as ``185 > 100`` or ``avg(cpu,1m0s)=93.5 > 90`` are user visible and
 stored with incidents, so doubles print without a trailing ``.0`` and switch to an
-exponent only below 1e-4 or from 1e21 on.
+exponent below 1e-4 and from 1e6 on.
 """
 
 from __future__ import annotations
@@ -27,13 +27,12 @@ def double_text(value: Column) -> Column:
     # JVMs before 19 print some doubles with one digit too many; 16 digits do if they read back equal.
     printed, rounded = d.cast("string"), F.format_string("%.15E", d)
     raw = F.when((F.length(printed) > 17) & (rounded.try_cast("double") == d), rounded).otherwise(printed)
-    # Two scales keep every significant digit within DECIMAL(38): small numbers need
-    # fraction digits, large ones integer digits.
-    small = raw.try_cast("decimal(38,25)").cast("string")
-    large = raw.try_cast("decimal(38,10)").cast("string")
-    exponent = F.regexp_extract(raw, r"E\+?(-?\d+)$", 1).try_cast("int")
+    plain = raw.try_cast("decimal(38,25)").cast("string")
+    # Between 1e6 and 1e7 the JVM prints no exponent yet: the point moves by six places.
+    exponent = F.coalesce(F.regexp_extract(raw, r"E\+?(-?\d+)$", 1).try_cast("int"), F.lit(6))
+    mantissa = F.regexp_replace(F.regexp_replace(raw, r"E[+-]?\d+$", ""), r"^(-?\d)(\d{6})\.", "$1.$2")
     scientific = F.concat(
-        _strip_zeros(F.regexp_replace(raw, r"E[+-]?\d+$", "")),
+        _strip_zeros(mantissa),
         F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
         F.format_string("%02d", F.abs(exponent)),
     )
@@ -42,9 +41,8 @@ def double_text(value: Column) -> Column:
         .when(d == F.lit(math.inf), F.lit("+Inf"))
         .when(d == F.lit(-math.inf), F.lit("-Inf"))
         .when(d == 0, F.lit("0"))
-        .when((size < 1e-4) | (size >= 1e21), scientific)
-        .when(size < 1e10, _strip_zeros(small))
-        .otherwise(_strip_zeros(large))
+        .when((size < 1e-4) | (size >= 1e6), scientific)
+        .otherwise(_strip_zeros(plain))
     )
 
 
@@ -59,7 +57,7 @@ def double_literal(value: float) -> str:
         return "0"
     d = Decimal(repr(v))
     exponent = d.adjusted()
-    if -4 <= exponent < 21:
+    if -4 <= exponent < 6:
         text = format(d, "f")
         return text.rstrip("0").rstrip(".") if "." in text else text
     digits = "".join(map(str, d.as_tuple().digits)).rstrip("0")

@@ -33,6 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Folders of the tables that ``materialize`` wrote in this process, oldest first; long-running jobs remove theirs.
+stored: list[str] = []
+
+
 def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """Write an intermediate table once and read it back.
 
@@ -45,9 +49,17 @@ def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     if spread:
         df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df.write.parquet(path)
+    stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that this library has written, on any file system."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def local_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
     """A small driver-side table whose size the optimizer knows."""
     schema = T.StructType.fromDDL(ddl)

@@ -4,6 +4,8 @@ Every micro-batch runs the batch operators, seeded with the state the previous o
 results are tables keyed by ``batch_id`` and overwritten when Spark replays a batch, so a restart neither
 loses nor repeats anything.
 
+The tables a batch needs only itself are removed by the next one, and of the state the last two batches are kept.
+
 Records are taken in event-time order: those newer than the watermark wait in ``pending``, those older
 than the previous watermark go to ``quarantine`` with reason ``late``. With a delay of zero a batch is
 processed whole. The incidents and messages are then those of one batch run over all records.
@@ -12,7 +14,7 @@ processed whole. The incidents and messages are then those of one batch run over
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,7 @@ from ..model import SCHEDULED, Fields, Rule, SqlReturnsRows, runnable
 from ..operators.state import incident_table
 from ..operators.verdicts import push_verdicts
 from ..plans.alerting import AlertPlan, Carried, Subscribers, plan_alerts
-from ..session import local_table, materialize
+from ..session import local_table, materialize, remove, stored
 
 STATE_TABLES = ("open_incidents", "sub_states", "live_states", "one_shot_used", "pending", "samples", "progress")
 
@@ -41,6 +43,7 @@ class AlertStream:
     start: datetime
     delay: timedelta = timedelta(0)
     horizon: timedelta | None = None
+    _scratch: list[str] = field(default_factory=list, repr=False)
 
     def table(self, spark: SparkSession, name: str, batch_id: int | None = None) -> DataFrame:
         """A state table after a batch, or the results of all batches (``batch_id`` None)."""
@@ -71,6 +74,8 @@ class AlertStream:
         ``final`` drains the waiting records at the end of a bounded stream.
         """
         spark = records.sparkSession
+        remove(spark, *self._scratch)
+        done = len(stored)
         previous = batch_id - 1
         first = batch_id == 0
         old = None if first else {n: self.table(spark, n, previous) for n in STATE_TABLES if n != "samples" or self._scheduled}
@@ -105,6 +110,8 @@ class AlertStream:
                            after=utc(mark))
         self._results(plan, carried, batch_id)
         self._write(local_table(spark, [(utc(watermark),)], "watermark timestamp"), "progress", batch_id)
+        self._scratch = stored[done:]
+        remove(spark, *(f"{self.folder}/{name}/batch_id={batch_id - 2}" for name in (*STATE_TABLES, "all_sub_states")))
         return plan
 
     def _results(self, plan: AlertPlan, carried: Carried, batch_id: int) -> None:

@@ -164,10 +164,10 @@ def test_bad_expressions_are_errors(spark, text):
 
 
 NUMBERS = [185.0, 100.5, 1e7, 1e-4, 123456789.125, -0.5, 0.0, 1e20, 1e21, 1.25e22, 1e-5, 2.5e-7, 123456789012345680.0,
-           0.1, 1e15, 2251799813685249.5, -1e21, 5e-324, 1.7976931348623157e308, 0.00012345678901234567]
-TEXTS = ["185", "100.5", "10000000", "0.0001", "123456789.125", "-0.5", "0", "100000000000000000000", "1e+21",
-         "1.25e+22", "1e-05", "2.5e-07", "123456789012345680", "0.1", "1000000000000000", "2251799813685249.5", "-1e+21",
-         "5e-324", "1.7976931348623157e+308", "0.00012345678901234567"]
+           0.1, 1e15, 2251799813685249.5, -1e21, 5e-324, 1.7976931348623157e308, 0.00012345678901234567, 999999.0, 1e6, -1234567.5, 9999999.0]
+TEXTS = ["185", "100.5", "1e+07", "0.0001", "1.23456789125e+08", "-0.5", "0", "1e+20", "1e+21",
+         "1.25e+22", "1e-05", "2.5e-07", "1.2345678901234568e+17", "0.1", "1e+15", "2.2517998136852495e+15", "-1e+21",
+         "5e-324", "1.7976931348623157e+308", "0.00012345678901234567", "999999", "1e+06", "-1.2345675e+06", "9.999999e+06"]
 
 
 def test_number_text(spark):
