@@ -198,7 +198,7 @@ def to_sql(
     """
     tokens = _tokens(source.strip())
     if not tokens:
-        raise ExpressionError("expr required")
+        raise ExpressionError("no text")
     sql = " ".join(_render(tokens, mode, field, feature, typed))
     return f"coalesce({sql}, false)" if mode == "scheduled" and ("op", "/") in tokens else sql
 

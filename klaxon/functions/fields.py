@@ -22,7 +22,7 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 def compare(op: str, left: Column, right: float) -> Column:
     """IEEE comparison with a constant: NaN compares false, except for ``!=``."""
     if op not in OPS:
-        raise ValueError(f"invalid op {op!r}")
+        raise ValueError(f"unknown comparison {op!r}")
     right = float(right)
     if math.isnan(right):
         return F.when(left.isNotNull(), F.lit(op == "!="))

@@ -98,8 +98,8 @@ class Threshold:
     mode = PUSH
 
     def errors(self) -> list[str]:
-        return ([] if self.field else ["threshold: field required"]) + (
-            [] if self.op in OPS else [f"invalid op {self.op!r}"])
+        return ([] if self.field else ["threshold names no field"]) + (
+            [] if self.op in OPS else [f"unknown comparison {self.op!r}"])
 
     def outcome(self, fields: Fields) -> Outcome:
         number = fields.number(self.field)
@@ -120,14 +120,14 @@ class PatternMatch:
     mode = PUSH
 
     def errors(self) -> list[str]:
-        out = [] if self.field else ["pattern_match: field required"]
+        out = [] if self.field else ["pattern_match names no field"]
         if self.kind == "contains":
-            out += [] if self.pattern else ["pattern_match: pattern required"]
+            out += [] if self.pattern else ["pattern_match has no pattern"]
         elif self.kind == "regex":
             problem = pattern_error(self.pattern)
             out += [f"pattern_match: {problem}"] if problem else []
         else:
-            out.append(f"pattern_match: invalid kind {self.kind!r}")
+            out.append(f"pattern_match knows no kind {self.kind!r}")
         return out
 
     def outcome(self, fields: Fields) -> Outcome:
@@ -153,10 +153,10 @@ class WindowAggregate:
     mode = SCHEDULED
 
     def errors(self) -> list[str]:
-        out = [] if self.field else ["window_aggregate: field required"]
-        out += [] if self.window_ns > 0 else ["window_aggregate: window must be > 0"]
-        out += [] if self.agg in AGGREGATES else [f"window_aggregate: invalid agg {self.agg!r}"]
-        return out + ([] if self.op in OPS else [f"invalid op {self.op!r}"])
+        out = [] if self.field else ["window_aggregate names no field"]
+        out += [] if self.window_ns > 0 else ["window_aggregate needs a window above zero"]
+        out += [] if self.agg in AGGREGATES else [f"window_aggregate knows no aggregate {self.agg!r}"]
+        return out + ([] if self.op in OPS else [f"unknown comparison {self.op!r}"])
 
     def outcome(self, features: Fields) -> Outcome:
         value = F.col(features.name(self.agg, self.field, self.window_ns))
@@ -182,8 +182,8 @@ class SqlReturnsRows:
         return self.min_rows if self.min_rows > 0 else 1
 
     def errors(self) -> list[str]:
-        return ([] if self.data_source else ["sql_returns_rows: data_source required"]) + (
-            [] if self.query.strip() else ["sql_returns_rows: query required"])
+        return ([] if self.data_source else ["sql_returns_rows names no data source"]) + (
+            [] if self.query.strip() else ["sql_returns_rows has no query"])
 
     def template(self) -> Template:
         return Template("rows=", "measure", f" (>={self.needed}?)")
@@ -221,7 +221,7 @@ class Expression:
 
     def errors(self) -> list[str]:
         if self.eval_mode not in ("", PUSH, SCHEDULED):
-            return [f"expression: invalid mode {self.eval_mode!r}"]
+            return [f"expression knows no mode {self.eval_mode!r}"]
         if callable(self.expr):
             return []
         try:
@@ -267,7 +267,7 @@ def register_condition(type_name: str, factory: Callable[[Mapping[str, Any]], An
 def decode_condition(type_name: str, spec: str | Mapping[str, Any]):
     """Condition object from its ``type`` and JSON ``spec``; unknown types are an error."""
     if type_name not in _CONDITIONS:
-        raise ValueError(f"condition: unknown type {type_name!r}")
+        raise ValueError(f"unknown condition type {type_name!r}")
     return _CONDITIONS[type_name](json.loads(spec) if isinstance(spec, str) else spec)
 
 
@@ -285,14 +285,14 @@ class Rule:
 
     def errors(self) -> list[str]:
         """Why this rule cannot run; empty when it can."""
-        out = [] if self.name else ["rule: name is required"]
-        out += [] if self.input_ref else ["rule: input_ref is required"]
+        out = [] if self.name else ["a rule needs a name"]
+        out += [] if self.input_ref else ["a rule needs an input"]
         if self.condition is None:
-            return out + ["rule: condition is required"]
+            return out + ["a rule needs a condition"]
         if self.condition.mode == SCHEDULED and self.schedule_ns <= 0:
-            out.append("rule: scheduled rules require a positive schedule duration")
+            out.append("a scheduled rule needs a schedule above zero")
         if self.severity not in ("",) + SEVERITIES:
-            out.append("rule: invalid severity")
+            out.append("unknown severity")
         return out + self.condition.errors()
 
 

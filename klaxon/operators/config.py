@@ -61,30 +61,30 @@ def validate_rules(rules: DataFrame) -> DataFrame:
     pattern = F.when((kind == "pattern_match") & (s["kind"] == "regex"), F.coalesce(s["pattern"], F.lit("")))
     regex = _pattern_errors(pattern)
     checks = [
-        _problem(_blank(F.col("name")), "rule: name is required"),
-        _problem(_blank(F.col("input_ref")), "rule: input_ref is required"),
-        _problem(_blank(kind), "rule: condition is required"),
+        _problem(_blank(F.col("name")), "a rule needs a name"),
+        _problem(_blank(F.col("input_ref")), "a rule needs an input"),
+        _problem(_blank(kind), "a rule needs a condition"),
         _problem((F.col("mode") == "scheduled") & (F.coalesce("schedule_ns", F.lit(0)) <= 0),
-                 "rule: scheduled rules require a positive schedule duration"),
-        _problem(~F.col("severity").isin(*SEVERITIES), "rule: invalid severity"),
-        _problem(~_blank(kind) & ~known, F.concat(F.lit("condition: unknown type "), kind)),
+                 "a scheduled rule needs a schedule above zero"),
+        _problem(~F.col("severity").isin(*SEVERITIES), "unknown severity"),
+        _problem(~_blank(kind) & ~known, F.concat(F.lit("unknown condition type "), kind)),
         _problem(kind.isin("threshold", "window_aggregate", "pattern_match") & _blank(s["field"]),
-                 F.concat(kind, F.lit(": field required"))),
-        _problem(op, F.concat(F.lit("invalid op "), F.coalesce(s["op"], F.lit("")))),
+                 F.concat(kind, F.lit(" names no field"))),
+        _problem(op, F.concat(F.lit("unknown comparison "), F.coalesce(s["op"], F.lit("")))),
         _problem((kind == "window_aggregate") & (F.coalesce(s["window"], F.lit(0)) <= 0),
-                 "window_aggregate: window must be > 0"),
+                 "window_aggregate needs a window above zero"),
         _problem((kind == "window_aggregate") & ~F.coalesce(s["agg"], F.lit("")).isin(*AGGREGATES),
-                 F.concat(F.lit("window_aggregate: invalid agg "), F.coalesce(s["agg"], F.lit("")))),
+                 F.concat(F.lit("window_aggregate knows no aggregate "), F.coalesce(s["agg"], F.lit("")))),
         _problem((kind == "pattern_match") & ~F.coalesce(s["kind"], F.lit("")).isin("regex", "contains"),
-                 F.concat(F.lit("pattern_match: invalid kind "), F.coalesce(s["kind"], F.lit("")))),
+                 F.concat(F.lit("pattern_match knows no kind "), F.coalesce(s["kind"], F.lit("")))),
         _problem((kind == "pattern_match") & (s["kind"] == "contains") & _blank(s["pattern"]),
-                 "pattern_match: pattern required"),
+                 "pattern_match has no pattern"),
         _problem(regex.isNotNull(), F.concat(F.lit("pattern_match: "), regex)),
-        _problem((kind == "sql_returns_rows") & _blank(s["data_source"]), "sql_returns_rows: data_source required"),
-        _problem((kind == "sql_returns_rows") & _blank(F.trim(s["query"])), "sql_returns_rows: query required"),
-        _problem((kind == "expression") & _blank(F.trim(s["expr"])), "expression: expr required"),
+        _problem((kind == "sql_returns_rows") & _blank(s["data_source"]), "sql_returns_rows names no data source"),
+        _problem((kind == "sql_returns_rows") & _blank(F.trim(s["query"])), "sql_returns_rows has no query"),
+        _problem((kind == "expression") & _blank(F.trim(s["expr"])), "expression: no text"),
         _problem((kind == "expression") & ~F.coalesce(s["mode"], F.lit("")).isin("", "push", "scheduled"),
-                 F.concat(F.lit("expression: invalid mode "), s["mode"])),
+                 F.concat(F.lit("expression knows no mode "), s["mode"])),
     ]
     return d.withColumn("errors", F.array_compact(F.array(*checks))).drop("spec")
 
@@ -95,10 +95,10 @@ def validate_subscriptions(subscriptions: DataFrame) -> DataFrame:
     selector = F.coalesce(F.size("label_selector"), F.lit(0)) > 0
     negative = (F.coalesce("dwell_ns", F.lit(0)) < 0) | (F.coalesce("repeat_interval_ns", F.lit(0)) < 0)
     return subscriptions.withColumn("errors", F.array_compact(F.array(
-        _problem(_blank(F.col("subscriber_id")), "subscription: subscriber_id required"),
-        _problem(~rule & ~selector, "subscription: rule_id or label_selector required"),
-        _problem(rule & selector, "subscription: only one of rule_id or label_selector may be set"),
-        _problem(negative, "subscription: dwell and repeat_interval must be >= 0"),
+        _problem(_blank(F.col("subscriber_id")), "a subscription needs a subscriber"),
+        _problem(~rule & ~selector, "a subscription needs a rule or labels"),
+        _problem(rule & selector, "a subscription takes a rule or labels, not both"),
+        _problem(negative, "delays of a subscription must not be negative"),
     )))
 
 

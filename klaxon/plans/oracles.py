@@ -422,18 +422,18 @@ def sql() -> dict[str, str]:
     problems = f"""with {SUBS}, c as (
           select *, case p_type when 'ECONOMY' then p_size < 20 else p_type in ('MEDIUM', 'PROMO') end as scheduled from parts),
         e as (select id, list_filter([
-          case when name = '' then 'rule: name is required' end,
-          case when scheduled and p_size < 15 then 'rule: scheduled rules require a positive schedule duration' end,
-          case when p_brand = 'Brand#1' then 'rule: invalid severity' end,
-          case when p_type = 'STANDARD' then 'condition: unknown type mystery' end,
-          case when p_type = 'LARGE' and p_size < 10 then 'pattern_match: field required' end,
-          case when p_type = 'SMALL' and p_size < 10 then 'invalid op =>' end,
-          case when p_type = 'MEDIUM' and p_size <= 20 then 'window_aggregate: window must be > 0' end,
-          case when p_type = 'MEDIUM' and p_size < 10 then 'window_aggregate: invalid agg median' end,
+          case when name = '' then 'a rule needs a name' end,
+          case when scheduled and p_size < 15 then 'a scheduled rule needs a schedule above zero' end,
+          case when p_brand = 'Brand#1' then 'unknown severity' end,
+          case when p_type = 'STANDARD' then 'unknown condition type mystery' end,
+          case when p_type = 'LARGE' and p_size < 10 then 'pattern_match names no field' end,
+          case when p_type = 'SMALL' and p_size < 10 then 'unknown comparison =>' end,
+          case when p_type = 'MEDIUM' and p_size <= 20 then 'window_aggregate needs a window above zero' end,
+          case when p_type = 'MEDIUM' and p_size < 10 then 'window_aggregate knows no aggregate median' end,
           case when p_type = 'LARGE' and p_size > 40 then 'pattern_match: regular expression' end,
-          case when p_type = 'PROMO' and p_size < 25 then 'sql_returns_rows: data_source required' end,
-          case when p_type = 'PROMO' then 'sql_returns_rows: query required' end,
-          case when p_type = 'ECONOMY' and p_size >= 20 and p_size < 30 then 'expression: invalid mode later' end],
+          case when p_type = 'PROMO' and p_size < 25 then 'sql_returns_rows names no data source' end,
+          case when p_type = 'PROMO' then 'sql_returns_rows has no query' end,
+          case when p_type = 'ECONOMY' and p_size >= 20 and p_size < 30 then 'expression knows no mode later' end],
           lambda x: x is not null) as errors from c)"""
     q["validate_rules"] = problems + """ select id, len(errors)::int as n, case
         when errors[1] = 'pattern_match: regular expression' then 'pattern_match: missi'
@@ -449,9 +449,9 @@ def sql() -> dict[str, str]:
         case when p_type = 'MEDIUM' then ((p_size - 20) * 1000000)::bigint end as window_ns,
         case p_type when 'SMALL' then p_size::double when 'MEDIUM' then 5.0 end as value from parts"""
     q["validate_subscriptions"] = f"""with {SUBS} select id, concat_ws('; ',
-        case when one_shot then 'subscription: subscriber_id required' end,
-        case when st in ('P', 'F') and one_shot then 'subscription: only one of rule_id or label_selector may be set' end,
-        case when dwell_ns < 0 then 'subscription: dwell and repeat_interval must be >= 0' end) as errors from subs"""
+        case when one_shot then 'a subscription needs a subscriber' end,
+        case when st in ('P', 'F') and one_shot then 'a subscription takes a rule or labels, not both' end,
+        case when dwell_ns < 0 then 'delays of a subscription must not be negative' end) as errors from subs"""
     q["flex_duration"] = """select l_orderkey, l_linenumber, l_quantity, case l_linenumber
         when 1 then l_quantity::bigint * 86400000000000
         when 2 then l_quantity::bigint * 604800000000000 + 302400000000000

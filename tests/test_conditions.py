@@ -93,8 +93,8 @@ def test_expression_modes():
 def test_validation():
     ok = rule()
     assert ok.errors() == []
-    assert Rule("i", "", "", None).errors() == ["rule: name is required", "rule: input_ref is required",
-                                               "rule: condition is required"]
+    assert Rule("i", "", "", None).errors() == ["a rule needs a name", "a rule needs an input",
+                                               "a rule needs a condition"]
     assert rule(severity="bad").errors() and not rule(severity="").errors()
     window = WindowAggregate("v", "avg", 10**9, ">", 1)
     assert rule(condition=window).errors() and not rule(condition=window, schedule_ns=1).errors()

@@ -100,8 +100,8 @@ def test_rule_and_subscription_tables(spark):
     rules = config.table(spark, "rules", rows)
     errors = {r["id"]: r["errors"] for r in config.validate_rules(rules).collect()}
     assert errors["ok"] == [] and errors["re"][0].startswith("pattern_match: look-around")
-    assert errors["sched"] == ["rule: scheduled rules require a positive schedule duration", "rule: invalid severity"]
-    assert errors["what"] == ["rule: name is required", "rule: input_ref is required", "condition: unknown type nope"]
+    assert errors["sched"] == ["a scheduled rule needs a schedule above zero", "unknown severity"]
+    assert errors["what"] == ["a rule needs a name", "a rule needs an input", "unknown condition type nope"]
     loaded = {r.id: r for r in config.load_rules(rules)}
     assert loaded["ok"].errors() == [] and loaded["what"].condition is None and loaded["re"].errors()
     subs = audience(spark, [subscription("ok", rule_id="r"), subscription("none"), subscription("two", rule_id="r", selector={"a": "b"}),
