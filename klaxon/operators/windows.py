@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import number_field, record_kind
 from ..model import SCHEDULED, Fields, Rule, SqlReturnsRows, runnable
+from ..session import materialize
 
+# A window longer than this many schedules is put together from blocks instead of giving each pane to all its ticks.
+MOST_TICKS_PER_PANE = 32
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -124,6 +127,11 @@ def window_features(
     rows = grid.select("rule_id", "tick", *empty)
     if features:
         panes = _panes(records, features, first)
+        long = [i for i, f in enumerate(features) if f.span > MOST_TICKS_PER_PANE * f.every]
+        if long:
+            panes = materialize(panes, "panes")
+            rows = rows.unionByName(_covered(panes.where(F.col("f").isin(long)), features, long))
+            panes = panes.where(~F.col("f").isin(long))
         rows = rows.unionByName(_spread(panes, features))
     per_tick = rows.groupBy("rule_id", "tick").agg(
         *[a.alias(f"{name}{i}") for i in range(width) for name, a in _slot_aggregates(i)] or
@@ -184,6 +192,39 @@ def _panes(records: DataFrame, features: list[_Feature], first: int) -> DataFram
     )
 
 
+def _covered(panes: DataFrame, features: list[_Feature], long: list[int]) -> DataFrame:
+    """Aggregates of windows that are much longer than their schedule, by blocks of 1, 2, 4, ... panes.
+
+    A pane is summed into one block per size, and a window is cut into at most two blocks of each size, which an equi-join
+    fetches. Both fan out with the logarithm of the window only. The pane exactly at the far end counts with its edge samples alone; it
+    is kept as size -1.
+    """
+    levels = {i: max(0, features[i].span.bit_length()) for i in long}
+    height = F.try_element_at(F.create_map(*[F.lit(x) for kv in levels.items() for x in kv]), F.col("f"))
+    sums = [F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    sizes = F.when(F.col("edge"), F.sequence(F.lit(-1), height)).otherwise(F.sequence(F.lit(0), height))
+    blocks = panes.select("*", F.explode(sizes).alias("size")).withColumn(
+        "block", F.expr("if(size < 0, pane, shiftright(pane, greatest(size, 0)))")).groupBy("f", "size", "block").agg(*sums)
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("f"), F.lit(features[i].rule).alias("rule_id"), F.lit(features[i].slot).alias("slot"),
+                 F.lit(features[i].every).cast("bigint").alias("every"), F.lit(features[i].span).cast("bigint").alias("span"),
+                 F.lit(features[i].closed).alias("closed"), F.lit(features[i].first).cast("bigint").alias("first"),
+                 F.lit(features[i].ticks).cast("bigint").alias("ticks"), F.lit(levels[i]).alias("height")) for i in long])
+    span = panes.sparkSession.range(min(features[i].first for i in long), max(features[i].ticks for i in long))
+    ticks = span.select(F.col("id").alias("tick"), F.inline(entries)).where("tick >= first and tick < ticks")
+    ticks = ticks.withColumn("b", F.col("tick") * F.col("every")).withColumn("a", F.col("b") - F.col("span") + 1)
+    wanted = F.expr("""
+        concat(
+          flatten(transform(sequence(0, height), l -> filter(
+            array(struct(l as size, -shiftright(-a, l) as block, (-shiftright(-a, l)) % 2 <> 0 as takes),
+                  struct(l as size, shiftright(b + 1, l) - 1 as block, (shiftright(b + 1, l) - 1) % 2 = 0 as takes)),
+            x -> x.takes and -shiftright(-a, l) <= shiftright(b + 1, l) - 1))),
+          if(closed, array(struct(-1 as size, a - 1 as block, true as takes)), cast(array() as array<struct<size:int,block:bigint,takes:boolean>>)))""")
+    pieces = ticks.select("f", "rule_id", "tick", "slot", F.explode(wanted).alias("w")).select("f", "rule_id", "tick", "slot", "w.size", "w.block")
+    return pieces.join(blocks, ["f", "size", "block"]).groupBy("rule_id", "tick", "slot").agg(*sums).select(
+        "rule_id", "tick", "slot", "s", "n", "lo", "hi")
+
+
 def _spread(panes: DataFrame, features: list[_Feature]) -> DataFrame:
     """Give each pane to the ticks whose window covers it."""
     entry = F.array(*[

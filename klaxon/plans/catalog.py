@@ -403,6 +403,14 @@ def expression_scheduled(spark, sf):
                  .select("rule_id", "now", "triggered"))
 
 
+@query
+def win_long(spark, sf):
+    rules = [Rule(a, "n", "events", WindowAggregate("value", a, 20 * DAY_NS, ">", 0), schedule_ns=10 * MINUTE) for a in ("avg", "sum", "min", "max", "count")]
+    cents = read(spark, sf, "events").withColumn("value", F.round(F.col("value") * 100))  # whole numbers: sums are exact in any order
+    rows, _ = windows.window_features(R.as_records(cents, "ts", "event_id"), rules, START, END)
+    return plain(rows.select("rule_id", "now", F.col("w0").alias("v")))
+
+
 @query
 def expression_ratio(spark, sf):
     ratio = lambda top, over: Expression(f'count_over("{top}", "1d") / count_over("{over}", "1d") > 1.5', "scheduled")

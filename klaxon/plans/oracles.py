@@ -367,6 +367,12 @@ def sql() -> dict[str, str]:
         union all select 'stub', timestamp '2024-01-01' + i * interval 12 hour, false from generate_series(0, 60) g(i)
         union all select 'bad', timestamp '2024-01-01' + i * interval 12 hour, true from generate_series(0, 60) g(i)"""
     six = "t as (select timestamp '2024-01-01' + i * interval 6 hour as now from generate_series(0, 120) g(i))"
+    ten = "t as (select timestamp '2024-01-01' + i * interval 10 minute as now from generate_series(0, 4320) g(i))"
+    q["win_long"] = f"""with {ten}, a as (select now, avg(value) as av, sum(value) as su, min(value) as mi, max(value) as ma,
+          count(value)::double as n from t left join (select ts, round(value * 100) as value from events) e
+          on ts between now - interval 20 day and now group by now)
+        select rule_id, now, v from (select now, unnest(['avg', 'sum', 'min', 'max', 'count']) as rule_id,
+          unnest([av, su, mi, ma, n]) as v from a)"""
     q["expression_ratio"] = f"""with {six}, n as (select now, count(value) as n from t left join events
           on ts between now - interval 1 day and now group by now)
         select 'none' as rule_id, now, false as triggered from t union all select 'infinite', now, n > 0 from n

@@ -3,6 +3,7 @@ from datetime import timedelta
 
 import pytest
 
+from klaxon.operators import windows
 from klaxon import Expression, WindowAggregate
 from klaxon.operators.windows import observe, schedule_grid, window_features, window_verdicts
 from klaxon.session import local_table
@@ -78,8 +79,10 @@ def test_verdicts(spark):
     assert got == {"w": [True, True, False], "zero": [False, True, True], "bad-window": [True] * 3, "stub": [False] * 3}
 
 
-@pytest.mark.parametrize("window,schedule", [(60, 20), (50, 20), (7, 3), (1.5, 1), (5, 30)])
-def test_panes_equal_direct_sums(spark, window, schedule):
+@pytest.mark.parametrize("window,schedule,most", [(60, 20, 32), (50, 20, 32), (7, 3, 32), (1.5, 1, 32), (5, 30, 32), (50, 20, 0), (7, 3, 0),
+                                                  (1.5, 1, 0), (40, 1, 32)])
+def test_panes_equal_direct_sums(spark, monkeypatch, window, schedule, most):
+    monkeypatch.setattr(windows, "MOST_TICKS_PER_PANE", most)
     rng = random.Random(4)
     times = sorted(rng.choice([float(rng.randint(0, 90)), rng.uniform(0, 90)]) for _ in range(120))
     data = [(t, float(rng.randint(1, 9))) for t in times]
