@@ -28,6 +28,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 ROUND_SYMBOLS = 4_000_000
 OTHER_SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 BATCH_CHARS = 4_000_000
+KEPT_SEGMENTS = 300_000  # about 60 MB in a worker, which keeps them between tasks
 
 
 def byte_letters() -> list[str]:
@@ -63,7 +64,7 @@ class ByteBpe:
         self.token_bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.token_lengths = np.array([len(p) for p in pieces], np.int64)
         self.token_starts = np.cumsum(self.token_lengths) - self.token_lengths
-        self.segments = Segments(self._encode_segments)
+        self.segments = Segments(self._encode_segments, KEPT_SEGMENTS)
 
     def merge(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merges all words at once. ``word`` is the rising word number of each symbol; returns both, merged."""

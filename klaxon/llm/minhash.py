@@ -56,7 +56,7 @@ class _Words(dict):
     """64-bit hash of a word, remembered for a while."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value

@@ -46,7 +46,7 @@ class _Buckets(dict):
     """Bucket of a word, remembered for a while."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = bucket = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_BUCKETS
         return bucket
