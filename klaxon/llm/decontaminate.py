@@ -2,8 +2,8 @@
 
 A window of ten consecutive item words occurs in a document only if all of its words do. So its words are ordered by rarity
 in the corpus, and for exact containment the necessary prefix is the single rarest word: document words are joined with it alone.
-The word's offset in the window and the two lengths bound where the window would lie; what fits is verified word by word on the
-whole text. Only DataFrame functions are used.
+The word's offset in the window and the two lengths bound where the window would lie, and its neighbours have to agree; what fits is
+verified word by word on the whole text. Only DataFrame functions are used.
 
 Words occur in every document, so rows are never grouped by word before a combine, and the sides that words are joined
 with are broadcast only after their stored bytes are checked (``BROADCAST_BYTES``); beyond that Spark shuffles both and splits
@@ -53,7 +53,8 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFra
 
 
 def prefix_table(documents: DataFrame, windows: DataFrame) -> DataFrame:
-    """One row per distinct window whose words all occur: its rarest word (ties: smaller word), that word's first offset, its length."""
+    """One row per distinct window whose words all occur: its rarest word (ties: smaller word), that word's first offset, the words before
+    and after it in the window (null at its ends), its length."""
     split = windows.select("window", "length").distinct().select(
         "window", "length", F.posexplode(F.split("window", " ")).alias("offset", "word"))
     vocabulary = _small(materialize(split.select("word").distinct(), "benchmark-words"))
@@ -61,15 +62,19 @@ def prefix_table(documents: DataFrame, windows: DataFrame) -> DataFrame:
     counts = seen.join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     ranked = split.join(counts, "word", "left").groupBy("window", "length").agg(
         F.min(F.struct("n", "word", "offset")).alias("rarest"), F.min(F.coalesce("n", F.lit(0))).alias("least"))
-    return ranked.where("least > 0").select("window", "length", "rarest.word", "rarest.offset")
+    ranked = ranked.where("least > 0").select("window", "length", "rarest.word", "rarest.offset", F.split("window", " ").alias("w"))
+    return ranked.select("window", "length", "word", "offset", F.get("w", F.col("offset") - 1).alias("before"),
+                         F.get("w", F.col("offset") + 1).alias("after"))
 
 
 def candidates(documents: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(key, start, length, window) wherever the rarest word stands with room for the window around it."""
+    """(key, start, length, window) wherever the rarest word stands with room for the window around it and the right neighbours."""
     words = documents.select("key", words_of(F.col("text")).alias("w")).select(
-        "key", F.size("w").alias("n_words"), F.posexplode("w").alias("place", "word"))
+        "key", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("place", "word"))
+    words = words.select("key", "n_words", "place", "word", F.get("w", F.col("place") - 1).alias("left"), F.get("w", F.col("place") + 1).alias("right"))
     start = F.col("place") - F.col("offset")
-    found = words.join(prefixes, "word").where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
+    beside = (F.col("before").isNull() | (F.col("before") == F.col("left"))) & (F.col("after").isNull() | (F.col("after") == F.col("right")))
+    found = words.join(prefixes, "word").where((start >= 0) & (start + F.col("length") <= F.col("n_words")) & beside)
     return found.select("key", start.alias("start"), "length", "window")
 
 
