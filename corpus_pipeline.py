@@ -44,7 +44,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token_ids, n_tokens, and whether the ids decode to the text again."""
     ship(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = bpe.decode_documents(bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), path), path)
+    rows = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), path, decoded="decoded")
     return rows.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("bigint").alias("n_tokens"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 

@@ -190,13 +190,15 @@ def batches(texts: pa.Array, chars: int = BATCH_CHARS) -> Iterator[tuple[int, li
         yield start, held
 
 
-def encode_documents(documents: DataFrame, path: str, column: str = "text", ids: str = "token_ids") -> DataFrame:
+def encode_documents(documents: DataFrame, path: str, column: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """Adds the token ids of every whole text as an array of integers; null and empty texts have none.
 
+    With ``decoded`` the ids are turned into text again in the same task, which spares a second set of Python workers.
+
     Narrow and streaming: rows pass in Arrow batches and no row depends on another. Other columns are kept; one
     already named ``ids`` is replaced.
     """
-    kept = documents.drop(ids)
+    kept = documents.drop(ids, *([decoded] if decoded else []))
     names = kept.columns
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +208,11 @@ def encode_documents(documents: DataFrame, path: str, column: str = "text", ids:
                 found = bpe.encode(texts)
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, lists], names=[*names, ids])
+                back = [pa.array([bpe.decode(f) for f in found], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, lists, *back], names=[*names, ids, *([decoded] if decoded else [])])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, `{ids}` array<int>")
+    return kept.mapInArrow(run, f"{fields}, `{ids}` array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode_documents(documents: DataFrame, path: str, ids: str = "token_ids", column: str = "decoded") -> DataFrame:

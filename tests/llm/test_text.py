@@ -50,6 +50,8 @@ def test_bpe_documents(spark):
     back = bpe.decode_documents(bpe.encode_documents(docs, BYTE), BYTE)
     assert back.columns == [*docs.columns, "token_ids", "decoded"]
     assert back.where("decoded <> coalesce(text, '')").count() == 0
+    once = bpe.encode_documents(docs, BYTE, decoded="decoded")
+    assert once.columns == back.columns and rows(once, "doc_id", "token_ids", "decoded") == rows(back, "doc_id", "token_ids", "decoded")
     assert bpe.digests(docs.limit(0), BYTE).count() == 0
 
 
