@@ -45,6 +45,17 @@ DROPPED_WORDS = frozenset("""nav navbar navigation menu masthead header footer s
 sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup share
 sharing social related recommended recommendations comment comments disqus reply replies respond breadcrumb breadcrumbs pagination pager widget
 toolbar search login copyright skip""".split())
+# A class or id is such a word by itself, with neutral words, or at its end ("site-footer"); "related-work" and "notice-period" are not.
+# A word of state makes it describe something else ("has-sidebar", "comments-open").
+NEUTRAL_WORDS = frozenset("""area article articles bar block body bottom box btn button buttons card cards center column container content count desktop entry
+facebook feed floating form global group heading icon icons image inline inner item items label layer left link links list local main mobile module more
+outer page panel placeholder placement post posts primary right row secondary section site slot slots small stories story sticky text title top twitter
+unit widgets wrap wrapper zone""".split())
+STATE_WORDS = frozenset("active closed disabled enabled has hidden hide is js no not off on open show visible with without".split())
+# Parts of an article may be called so: a header there has its title.
+ARTICLE_PARTS = frozenset("article chapter content entry post section story title".split())
+# Sections beside an article that may hold more text, even articles of their own.
+REPLY_WORDS = frozenset("comment comments disqus reply replies respond related recommended recommendations".split())
 CONTENT_WORDS = frozenset("article articlebody post entry story".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -52,17 +63,30 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
+def telling(name: str) -> frozenset[str]:
+    """The words by which one class or id says that its element is no article text."""
+    words = _WORDS.findall(name)
+    found = frozenset(words) & DROPPED_WORDS
+    if not found or STATE_WORDS.intersection(words) or (words[-1] == "header" and words[0] in ARTICLE_PARTS):
+        return frozenset()
+    plain = all(w in found or w in NEUTRAL_WORDS or w[0].isdigit() for w in words)
+    return found if plain else found & {words[-1]}
+
+
 class Node:
     """An element; ``children`` are elements and strings in page order."""
 
-    __slots__ = ("tag", "words", "role", "hidden", "children", "parent")
+    __slots__ = ("tag", "words", "telling", "role", "hidden", "children", "parent")
 
     def __init__(self, tag: str, attributes: str = "", parent: Node | None = None):
         self.tag, self.parent, self.children = tag, parent, []
-        self.words, self.role, self.hidden = frozenset(), "", False
+        self.words, self.telling, self.role, self.hidden = frozenset(), frozenset(), "", False
         if "=" in attributes or "hidden" in attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             self.words = frozenset(_WORDS.findall(f"{found.get('class', '')} {found.get('id', '')} {found.get('itemprop', '')}".lower()))
+            if self.words & DROPPED_WORDS:
+                names = f"{found.get('class', '')} {found.get('id', '')} {found.get('itemprop', '')}".lower().split()
+                self.telling = frozenset(w for name in names for w in telling(name))
             self.role = found.get("role", "").strip().lower()
             self.hidden = bool(re.search(r"(?:^|\s)hidden(?:$|[\s=/])", _ATTRIBUTE.sub(" ", attributes)) or "hidden" in found)
 
@@ -117,13 +141,72 @@ def parse(html: str) -> Node:
 
 
 def dropped(node: Node, in_article: bool = False) -> bool:
-    """Whether an element is no article text. The header of an article stays for its headings."""
-    if node.tag in DROPPED_TAGS or node.hidden or node.role in DROPPED_ROLES or node.words & DROPPED_WORDS:
+    """Whether an element is no article text by tag, role or attribute. The header of an article stays for its headings."""
+    if node.tag in DROPPED_TAGS or node.hidden or node.role in DROPPED_ROLES:
         return not (in_article and node.tag in HEADINGS and not node.hidden)
     return node.tag == "header" and not in_article
 
 
-def blocks(node: Node, skip: set[int] = frozenset(), in_article: bool = False, whole: Node | None = None) -> list[str]:
+def named_dropped(node: Node, in_article: bool = False) -> bool:
+    """Whether an element is no article text by class or id."""
+    return bool(node.telling - {"header"} if in_article else node.telling) and not (in_article and node.tag in HEADINGS)
+
+
+def is_article(node: Node) -> bool:
+    return node.tag in ("article", "main") or node.role == "main"
+
+
+def left_out(body: Node) -> set[int]:
+    """Elements (by identity) below the body that are dropped, the outermost ones.
+
+    Words in class or id do not drop an element that holds an article, or more than half of the page's text, unless the page has its
+    article elsewhere.
+    """
+    order: list[tuple[Node, bool, bool]] = []  # element, inside an article, inside one that is not below a dropped name
+    stack = [(body, False, False, False)]
+    while stack:
+        node, inside, below, clean = stack.pop()
+        if node is not body and dropped(node, inside or is_article(node)):
+            continue
+        inside |= is_article(node)
+        below |= node is not body and named_dropped(node, inside)
+        clean |= is_article(node) and not below
+        order.append((node, inside, clean))
+        stack.extend((c, inside, below, clean) for c in node.children if not isinstance(c, str))
+    whole: dict[int, int] = {}
+    plain: dict[int, int] = {}
+    holds: set[int] = set()
+    for node, inside, _ in reversed(order):
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        below = [id(c) for c in node.children if not isinstance(c, str) and id(c) in whole]
+        whole[id(node)] = own + sum(whole[c] for c in below)
+        plain[id(node)] = 0 if node is not body and named_dropped(node, inside) else own + sum(plain[c] for c in below)
+        if any(c in holds for c in below) or is_article(node) and whole[id(node)]:
+            holds.add(id(node))
+    elsewhere = any(is_article(n) and clean and plain[id(n)] for n, _, clean in order)
+    out: set[int] = set()
+    stack = [(body, False, False)]
+    places = {id(n): (inside, clean) for n, inside, clean in order}
+    while stack:
+        node, inside, in_clean = stack.pop()
+        if id(node) not in places:
+            out.add(id(node))
+            continue
+        inside, clean = places[id(node)]
+        if node is not body and named_dropped(node, inside):
+            half, reply = 2 * whole[id(node)] > whole[id(body)], bool(node.telling & REPLY_WORDS)
+            if elsewhere:
+                stays = half and not reply and (in_clean or id(node) in holds)
+            else:
+                stays = half or id(node) in holds and not reply
+            if not stays:
+                out.add(id(node))
+                continue
+        stack.extend((c, inside, in_clean or clean) for c in node.children if not isinstance(c, str))
+    return out
+
+
+def blocks(node: Node, skip: set[int] = frozenset()) -> list[str]:
     """Text blocks below an element in page order, white space joined; elements in ``skip`` (by identity) are left out."""
     out, line = [], []
 
@@ -140,7 +223,7 @@ def blocks(node: Node, skip: set[int] = frozenset(), in_article: bool = False, w
             line.append(unescape(item) if "&" in item else item)
         elif closing:
             flush()
-        elif item is not node and item is not whole and (id(item) in skip or dropped(item, in_article)):
+        elif item is not node and id(item) in skip:
             if item.tag in BLOCKS:
                 flush()
             else:
@@ -169,22 +252,23 @@ def _size(node: Node) -> int:
     return sum(len(c) for n in elements(node) if n.tag not in RAW for c in n.children if isinstance(c, str))
 
 
-def article_of(root: Node) -> tuple[Node, bool]:
-    """The element that holds the article, and whether it is one by tag, role or class."""
+def article_of(root: Node) -> tuple[Node, set[int]]:
+    """The element that holds the article, and the elements (by identity) that are left out of it."""
     body = next((n for n in elements(root) if n.tag == "body"), root)
+    out = left_out(body)
     for wanted in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.role == "main", lambda n: n.words & CONTENT_WORDS):
         found = []
         for n in elements(body):
             if n is not body and wanted(n):
                 above, outside = n, False
                 while above is not body and above is not None:
-                    outside |= above.tag in DROPPED_TAGS or above.hidden or bool(above.words & DROPPED_WORDS)
+                    outside |= id(above) in out
                     above = above.parent
-                found.append((not outside, _size(n), n))
-        if found and any(f[0] for f in found):
-            best = max(found, key=lambda f: f[:2])[2]
-            return best, True
-    return body, False
+                if not outside:
+                    found.append((_size(n), n))
+        if found:
+            return max(found, key=lambda f: f[0])[1], out
+    return body, out
 
 
 class Shape:
@@ -257,17 +341,12 @@ def extract(html: str, reference: Reference | None = None, constant: frozenset[i
         for r, own in match(reference.root, Shape("#root", [root]))[1]:
             if reference.place[id(r)] in constant:
                 skip |= {id(n) for n in own.nodes if text_of([n]) in reference.texts[reference.place[id(r)]]}
-    article, named = article_of(root)
+    article, out = article_of(root)
     above = article
     while above is not None:  # what holds the article is never template
         skip.discard(id(above))
         above = above.parent
-    whole = None
-    if not named:
-        total = _size(article)
-        # a page that wraps all of its text in an element of a telling class is not thrown away
-        whole = next((n for n in elements(article) if n is not article and n.tag == "div" and 2 * _size(n) > total), None) if total else None
-    return "\n".join(blocks(article, skip, named, whole))
+    return "\n".join(blocks(article, skip | out))
 
 
 def host_of(url: Column) -> Column:

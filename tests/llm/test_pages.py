@@ -57,6 +57,22 @@ def test_copies_are_no_template(spark):
     assert {r["text"] for r in wrapper.extract_pages(pages(spark, data)).collect()} == {text(1) + "\nFollow our news"}
 
 
+@pytest.mark.parametrize("body, want", [
+    ('<div id=page><div class="layout has-sidebar"><article><p>Text</article></div></div>', "Text"),
+    ('<div id=page><div class="layout sidebar"><article><p>Text</article></div><p>Else</div>', "Text"),
+    ('<div id=page><article class="post comments-open"><p>Text</article></div>', "Text"),
+    ('<div id=page><article class="post comments"><p>Text</article></div>', "Text"),
+    ('<article><p>Text<section id="related-work"><p>Work</section><div class="notice-period"><p>Period</div><div class=related-posts>No</div></article>',
+     "Text\nWork\nPeriod"),
+    ('<article><div class="entry-header"><h1>Title</h1></div><p>Text<div class="site-footer">No</div></article>', "Title\nText"),
+    ('<div class=a><div class=widget><div class=share>' + "Text " * 9 + "</div></div></div>", " ".join(["Text"] * 9)),
+    ('<article><p>Short</article><section class=comments><article>A long comment of a reader</article></section><div class=cookie-notice>' + "x " * 90 + "</div>",
+     "Short"),
+])
+def test_words_in_classes(body, want):
+    assert wrapper.extract(f"<html><body><nav>No</nav>{body}</body></html>") == want
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_records(version):
     content = b"HTTP/1.0 200 OK\r\nX: y\r\n\r\nbody\n"
