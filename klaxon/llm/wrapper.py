@@ -3,7 +3,8 @@
 Pages of one host share a template. The smallest page of a host is its reference; every other page's DOM tree is aligned
 with it by simple tree matching (the best order-keeping pairing of children with equal labels, recursively; runs of equal siblings count
 as one node). A reference node whose text is the same on most pages that otherwise differ is template and is left out, varying
-slots are content. Within the slots the article is what lies in the article or main element, or else in the body, without
+slots are content. Within the slots the article is what lies in the article elements, the main element or elements of a telling class if
+they hold most of the text (of several, what lies in the least element around them), or else in the body, without
 elements that by tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments.
 
 All pages count towards the template: they are aligned on their own, wherever they lie, and only sums per (host, reference
@@ -248,29 +249,49 @@ def elements(root: Node) -> Iterator[Node]:
         stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
 
 
-def _size(node: Node) -> int:
-    return sum(len(c) for n in elements(node) if n.tag not in RAW for c in n.children if isinstance(c, str))
+def article_of(root: Node, skip: set[int] = frozenset()) -> tuple[Node, set[int]]:
+    """The element that holds the article, and the elements (by identity) that are left out of it.
 
-
-def article_of(root: Node) -> tuple[Node, set[int]]:
-    """The element that holds the article, and the elements (by identity) that are left out of it."""
+    It is the article element, or else the main element, or else one of a telling class, if it holds more than half of the text that is
+    neither dropped nor in ``skip``. If there are several of a kind, it is the least element around them all. Otherwise it is the body.
+    """
     body = next((n for n in elements(root) if n.tag == "body"), root)
     out = left_out(body)
+    order, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and id(c) not in out)
+    holds: set[int] = set()  # what holds an article element is never template
+    sizes: dict[int, int] = {}
+    for node in reversed(order):
+        below = [c for c in node.children if not isinstance(c, str) and id(c) in sizes]
+        if is_article(node) or any(id(c) in holds for c in below):
+            holds.add(id(node))
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        sizes[id(node)] = 0 if id(node) in skip and id(node) not in holds else own + sum(sizes[id(c)] for c in below)
     for wanted in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.role == "main", lambda n: n.words & CONTENT_WORDS):
-        found = []
-        for n in elements(body):
-            if n is not body and wanted(n):
-                above, outside = n, False
-                while above is not body and above is not None:
-                    outside |= id(above) in out
-                    above = above.parent
-                if not outside:
-                    found.append((_size(n), n))
-        if found:
-            return max(found, key=lambda f: f[0])[1], out
+        marked = [n for n in order if n is not body and sizes[id(n)] and wanted(n)]
+        if not marked:
+            continue
+        around = _ancestors(marked[0])
+        for n in marked[1:]:
+            own = {id(x) for x in _ancestors(n)}
+            around = [x for x in around if id(x) in own]
+        if 2 * sizes[id(around[0])] > sizes[id(body)]:
+            return around[0], out
     return body, out
 
 
+def _ancestors(node: Node) -> list[Node]:
+    """An element and those around it, innermost first."""
+    out = []
+    while node is not None:
+        out.append(node)
+        node = node.parent
+    return out
+
+
 class Shape:
     """A tree for matching: equal siblings in a row are one node; text is left out."""
 
@@ -341,7 +362,7 @@ def extract(html: str, reference: Reference | None = None, constant: frozenset[i
         for r, own in match(reference.root, Shape("#root", [root]))[1]:
             if reference.place[id(r)] in constant:
                 skip |= {id(n) for n in own.nodes if text_of([n]) in reference.texts[reference.place[id(r)]]}
-    article, out = article_of(root)
+    article, out = article_of(root, skip)
     above = article
     while above is not None:  # what holds the article is never template
         skip.discard(id(above))

@@ -59,7 +59,7 @@ def test_copies_are_no_template(spark):
 
 @pytest.mark.parametrize("body, want", [
     ('<div id=page><div class="layout has-sidebar"><article><p>Text</article></div></div>', "Text"),
-    ('<div id=page><div class="layout sidebar"><article><p>Text</article></div><p>Else</div>', "Text"),
+    ('<div id=page><div class="layout sidebar"><article><p>The text</article></div><p>Else</div>', "The text"),
     ('<div id=page><article class="post comments-open"><p>Text</article></div>', "Text"),
     ('<div id=page><article class="post comments"><p>Text</article></div>', "Text"),
     ('<article><p>Text<section id="related-work"><p>Work</section><div class="notice-period"><p>Period</div><div class=related-posts>No</div></article>',
@@ -73,6 +73,19 @@ def test_words_in_classes(body, want):
     assert wrapper.extract(f"<html><body><nav>No</nav>{body}</body></html>") == want
 
 
+@pytest.mark.parametrize("body, want", [
+    ('<h1 class="post-title">T</h1><div class="content"><p>The whole text<p>of the page</div>', "T\nThe whole text\nof the page"),
+    ('<div><div class=entry-header><h1>T</h1></div><div class=entry-content><p>Text</div><p class=story-date>Today</div>', "T\nText\nToday"),
+    ('<div><article><p>One, the longest</article><h2>Between</h2><article><p>Two</article></div>', "One, the longest\nBetween\nTwo"),
+    ('<div class=post>One</div><div class=post>Two, the longest</div><div class=post>Three</div>', "One\nTwo, the longest\nThree"),
+    ('<div class=content><p>The whole text of the page</div><article>Teaser</article>', "The whole text of the page\nTeaser"),
+    ('<main><p>The whole text of the page<p>here</main><article>Teaser</article>', "The whole text of the page\nhere"),
+    ('<div>Few words</div><article><p>The whole text of the page</article>', "The whole text of the page"),
+])
+def test_marked_elements(body, want):
+    assert wrapper.extract(f"<html><body><nav>No</nav>{body}<footer>No</footer></body></html>") == want
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_records(version):
     content = b"HTTP/1.0 200 OK\r\nX: y\r\n\r\nbody\n"
