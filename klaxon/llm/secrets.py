@@ -3,7 +3,7 @@
 A candidate is a run of key characters (letters, digits and ``_ + / -``) that has a digit and eight characters or more, or a cloud key id. One
 regular expression finds all of a text; the pieces between them give their places and neighbours. Features are length and
 character shares, changes between character classes, the part of the letters that are words of the corpus, the path, and the words beside
-it. The forest is trained on at most ``TRAIN_ROWS`` labelled findings. If a caller has none, published key formats and named assignments label
+it. The forest is trained on at most ``TRAIN_ROWS`` distinct labelled findings, half of them of each label, weighted by what they stand for. If a caller has none, published key formats and named assignments label
 the candidates themselves: the forest then generalises these labels, and is measured on findings it has not seen.
 
 Everything is DataFrame, SQL and Spark ML on the JVM. Word counts cover the whole corpus; only the words that occur inside candidates are
@@ -13,6 +13,7 @@ counted, and they are broadcast only after a check of their size.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -25,6 +26,7 @@ from .decontaminate import _small, document_key, words_of
 
 CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?=[A-Za-z0-9_+/-]{8})[A-Za-z_+/-]*+[0-9][A-Za-z0-9_+/=-]*+)"
 TRAIN_ROWS, TREES, DEPTH, SEED = 20_000, 24, 6, 5
+LEAST_ROWS = 200  # rows of a rarer label are repeated up to here, at the same weight, so that every tree's sample has them
 THRESHOLD = 0.5
 LEFT_CHARS, RIGHT_CHARS = 48, 24
 KNOWN_WORD = 3  # occurrences in the corpus from which a run of letters counts as a word
@@ -118,18 +120,36 @@ class Filter:
         return scored.withColumn(column, vector_to_array("__p")[1]).drop("__x", "__p", "__y", "__r")
 
 
+def training_rows(findings: DataFrame, label: str = "label", rows: int = TRAIN_ROWS) -> tuple[DataFrame, list[float]]:
+    """``FEATURES``, label and weight of the rows to learn from, and the labels of all findings; null labels are ignored.
+
+    Copies of a finding (value, neighbours, features and label) count once. Of each label at most half of ``rows`` are taken, those of smallest hash;
+    their weights add up to the label's distinct findings, so a rare label is always learned from and shares stay as they are.
+    """
+    key = F.xxhash64("value", "left", "right")
+    kept = findings.where(F.col(label).isNotNull()).select(key.alias("key"), *FEATURES, F.col(label).cast("double").alias("label")).distinct()
+    kept = materialize(kept, "secret-findings")
+    counts = {r["label"]: r["n"] for r in kept.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    parts = []
+    for value, n in sorted(counts.items()):
+        taken = min(n, max(1, rows // 2))
+        times = max(1, -(-min(LEAST_ROWS, rows // 2) // taken))
+        part = kept.where(F.col("label") == value).orderBy("key", *FEATURES).limit(taken)
+        part = part.withColumn("weight", F.lit(n / taken / times)).withColumn("time", F.explode(F.sequence(F.lit(1), F.lit(times))))
+        parts.append(part.select(*FEATURES, "label", "weight"))
+    return (reduce(DataFrame.unionByName, parts) if parts else kept.withColumn("weight", F.lit(1.0))), sorted(counts)
+
+
 def train(findings: DataFrame, label: str = "label", rows: int = TRAIN_ROWS) -> Filter:
-    """A forest from at most ``rows`` labelled findings (those of smallest hash); null labels are ignored.
+    """A forest from the ``training_rows`` of labelled findings.
 
-    With one label only, that label is the answer; without any, nothing is a secret.
+    If all findings, not only those taken, have one label, that label is the answer; without any, nothing is a secret.
     """
-    kept = findings.where(F.col(label).isNotNull()).select(*FEATURES, F.col(label).cast("double").alias("label"), "value", "start")
-    kept = materialize(kept.orderBy(F.xxhash64("value", "start"), "value", "start").limit(rows), "secret-findings")
-    labels = sorted(r[0] for r in kept.select("label").distinct().collect())
+    kept, labels = training_rows(findings, label, rows)
     if len(labels) < 2:
         return Filter(None, labels[0] if labels else 0.0)
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(kept)
-    return Filter(RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label").fit(ready))
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(materialize(kept, "secret-training"))
+    return Filter(RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", weightCol="weight").fit(ready))
 
 
 def scan(documents: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
