@@ -1,7 +1,8 @@
 """Secrets in texts: pattern candidates, and a random forest that removes false positives.
 
-A candidate is a run of key characters (letters, digits and ``_ + / -``) that has a digit and eight characters or more, or a cloud key id. One
-regular expression finds all of a text; the pieces between them give their places and neighbours. Features are length and
+A candidate is a run of key characters (letters, digits and ``_ + / -``, with ``=`` at the end only) that has a digit and eight characters or
+more, a cloud key id, or whatever is assigned to a name such as password or token: the quoted text, or what stands up to white space without
+the punctuation at its end, of four characters or more. Unquoted values end before the next ``&name=``. One regular expression finds all of a text; the pieces between them give their places and neighbours. Features are length and
 character shares, changes between character classes, the part of the letters that are words of the corpus, the path, and the words beside
 it. The forest is trained on at most ``TRAIN_ROWS`` distinct labelled findings, half of them of each label, weighted by what they stand for. If a caller has none, published key formats and named assignments label
 the candidates themselves: the forest then generalises these labels, and is measured on findings it has not seen.
@@ -24,18 +25,30 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .decontaminate import _small, document_key, words_of
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?=[A-Za-z0-9_+/-]{8})[A-Za-z_+/-]*+[0-9][A-Za-z0-9_+/=-]*+)"
+# What a value is assigned to. Lookbehinds are bounded; cheap ones come first.
+NAMES = (r"(?:pass(?:word|wd|phrase)|pwd|secret(?:[_-]?key)?|token|(?:api|access|auth|private|signing|encryption)[_-]?key|credentials?)")
+_PLAIN = r"[^\s\"'<>&]"
+CANDIDATE = (
+    r"(?:(?<![A-Za-z0-9_+/-])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
+    r"|(?<=[:=][ \t>]{0,4}[\"']?)(?<=(?i:" + NAMES + r")[\"']?[ \t]{0,4}[:=]{1,2}[ \t>]{0,4}[\"']?)(?:"
+    r"(?<=\")(?=[^\"\r\n]{4})(?:[^\"\\\r\n]++|\\[^\r\n]){1,64}+(?=\")|(?<=')(?=[^'\r\n]{4})(?:[^'\\\r\n]++|\\[^\r\n]){1,64}+(?=')"
+    r"|(?![:=> \t])(?=" + _PLAIN + r"{4})" + _PLAIN + r"*(?:&(?![A-Za-z0-9_]+=)" + _PLAIN + r"*){0,16}(?<![,;.:)\]}]))"
+    r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{8})[A-Za-z_+/-]*+[0-9][A-Za-z0-9_+/-]*+(?:={1,2}(?![A-Za-z0-9_+/=-]))?)"
+)
 TRAIN_ROWS, TREES, DEPTH, SEED = 20_000, 24, 6, 5
 LEAST_ROWS = 200  # rows of a rarer label are repeated up to here, at the same weight, so that every tree's sample has them
 THRESHOLD = 0.5
-LEFT_CHARS, RIGHT_CHARS = 48, 24
+LEFT_CHARS, RIGHT_CHARS, LEFT_PIECES = 48, 24, 12
 KNOWN_WORD = 3  # occurrences in the corpus from which a run of letters counts as a word
 MASK = "[SECRET]"
 
 # Key formats as their issuers publish them.
 FORMATS = (r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"gh[pousr]_[A-Za-z0-9]{36,}", r"glpat-[A-Za-z0-9_-]{20,}", r"sk_live_[A-Za-z0-9]{24,}",
            r"xox[abprs]-[A-Za-z0-9-]{10,}", r"AIza[A-Za-z0-9_-]{35}", r"npm_[A-Za-z0-9]{36}")
-NAMED = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?)[\"']?\s*[:=]\s*[\"']?$"
+NAMED = r"(?i)" + NAMES + r"[\"']?\s*[:=]{1,2}>?\s*[\"']?$"
+# Named values that are mixed enough without digits, and what stands for a value in code.
+MIXED = r"(?:[a-z]\S*[A-Z]\S*[a-z]\S*[A-Z]|[A-Z]\S*[a-z]\S*[A-Z]\S*[a-z])|^(?=\S*[a-z])(?=\S*[A-Z])(?=\S*[!#$%^*@+/=~?&-])"
+CODE = r"^(?:[A-Za-z_][A-Za-z0-9_.]*[(\[{]|[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+$|\$[A-Za-z({]|\{\{|[<%(\[{])"
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|xxxx|1234567|(.)\1{5}"
 
 FEATURES = ("length", "digits", "upper", "lower", "hex", "marks", "changes", "case_changes", "longest_run", "coverage", "named", "key_word",
@@ -52,14 +65,18 @@ def candidates(documents: DataFrame, path: str = "source") -> DataFrame:
                             document_key().alias("key"))
     rows = rows.withColumn("values", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("values") > 0)
     rows = rows.withColumn("gaps", F.split("text", CANDIDATE, -1)).drop("text")
+    tail = lambda c: F.substring(c, -LEFT_CHARS, LEFT_CHARS)
+    # a value has four characters and a gap before it mostly one: so many pieces hold the text before
+    pieces = F.transform("values", lambda v, i: tail(F.concat(tail(F.col("gaps")[i]), tail(v))))
+    rows = rows.withColumn("pieces", pieces)
+    before = lambda i: F.array_join(F.slice("pieces", F.greatest(i - LEFT_PIECES + 1, F.lit(1)), F.least(i, F.lit(LEFT_PIECES))), "")
     lengths = F.transform("values", lambda v, i: F.length(v) + F.length(F.col("gaps")[i]))
     start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("sum"))
     ends = F.aggregate(lengths, start, lambda a, n: F.struct(F.concat(a["ends"], F.array(a["sum"] + n)).alias("ends"), (a["sum"] + n).alias("sum")),
                        lambda a: a["ends"])
     rows = rows.withColumn("ends", ends)
-    tail = lambda c: F.substring(c, -LEFT_CHARS, LEFT_CHARS)
     found = F.transform("values", lambda v, i: F.struct(
-        (F.col("ends")[i] - F.length(v)).alias("start"), v.alias("value"), tail(F.col("gaps")[i]).alias("left"),
+        (F.col("ends")[i] - F.length(v)).alias("start"), v.alias("value"), tail(F.concat(before(i), tail(F.col("gaps")[i]))).alias("left"),
         F.substring(F.col("gaps")[i + 1], 1, RIGHT_CHARS).alias("right")))
     return rows.select("key", "doc_id", "path", F.explode(found).alias("f")).select("key", "doc_id", "path", "f.*")
 
@@ -84,7 +101,7 @@ def described(found: DataFrame, documents: DataFrame) -> DataFrame:
     changes = r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
     columns = {
         "length": F.least(size, F.lit(200.0)), "digits": share("[0-9]"), "upper": share("[A-Z]"), "lower": share("[a-z]"),
-        "hex": share("[0-9a-f]"), "marks": share("[_+/=-]"), "changes": share(changes), "case_changes": share(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
+        "hex": share("[0-9a-f]"), "marks": share("[^A-Za-z0-9]"), "changes": share(changes), "case_changes": share(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
         "longest_run": F.coalesce(F.array_max(F.transform(F.regexp_extract_all("value", F.lit("[A-Za-z]+"), F.lit(0)), F.length)), F.lit(0)) / size,
         "coverage": F.coalesce(F.col("coverage"), F.lit(0.0)), "named": flag(F.col("left").rlike(NAMED)),
         "key_word": flag(F.col("left").rlike(r"(?i)(?:pass|pwd|secret|token|key|auth|credential|bearer)")),
@@ -100,7 +117,8 @@ def described(found: DataFrame, documents: DataFrame) -> DataFrame:
 def format_label() -> Column:
     """1 for values in a published format and for named assignments of a value of mixed characters, but not for placeholders."""
     published = F.col("value").rlike("^(?:" + "|".join(FORMATS) + ")$")
-    assigned = F.col("left").rlike(NAMED) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    mixed = (F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")) | F.col("value").rlike(MIXED)
+    assigned = F.col("left").rlike(NAMED) & mixed & F.col("value").rlike(r"^\S{8,}$") & ~F.col("value").rlike(CODE)
     return ((published | assigned) & ~F.col("value").rlike(PLACEHOLDER)).cast("double")
 
 
