@@ -2,7 +2,8 @@
 
 Pages of one host share a template. The smallest page of a host is its reference; every other page's DOM tree is aligned
 with it by simple tree matching (the best order-keeping pairing of children with equal labels, recursively; runs of equal siblings count
-as one node). A reference node whose text is the same on most pages that otherwise differ is template and is left out, varying
+as one node). A reference node whose text is the same on most pages that otherwise differ is template and is left out; pages that share
+more than half of the article's text with the reference are copies of it and do not count. Varying
 slots are content. Within the slots the article is what lies in the article elements, the main element or elements of a telling class if
 they hold most of the text (of several, what lies in the least element around them), or else in the body, without
 elements that by tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments.
@@ -352,6 +353,19 @@ class Reference:
         self.nodes = numbered(self.root)
         self.place = {id(s): i for i, s in enumerate(self.nodes)}
         self.texts = [text_of(s.nodes) for s in self.nodes]
+        self.blocks = article_blocks(self.root.nodes[0])
+
+
+def article_blocks(root: Node) -> list[str]:
+    article, out = article_of(root)
+    return blocks(article, out)
+
+
+def near_copy(own: list[str], reference: list[str]) -> bool:
+    """Whether blocks that stand in the reference's article hold more than half of the text of either article."""
+    known = set(reference)
+    shared = sum(len(b) for b in own if b in known)
+    return 2 * shared > min(sum(map(len, own)), sum(map(len, reference)))
 
 
 def extract(html: str, reference: Reference | None = None, constant: frozenset[int] = frozenset()) -> str:
@@ -394,8 +408,8 @@ def induce(pages: DataFrame) -> DataFrame:
                     known[host] = Reference(source)
                 reference = known[host]
                 shape = Shape("#root", [parse(html)])
-                if text_of(shape.nodes) == reference.texts[0]:
-                    continue  # a copy of the reference says nothing about what varies
+                if text_of(shape.nodes) == reference.texts[0] or near_copy(article_blocks(shape.nodes[0]), reference.blocks):
+                    continue  # a copy or near copy of the reference says nothing about what varies
                 for r, own in match(reference.root, shape)[1]:
                     place = reference.place[id(r)]
                     count = sums.setdefault((host, place), [0, 0])

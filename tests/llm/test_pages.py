@@ -86,6 +86,14 @@ def test_marked_elements(body, want):
     assert wrapper.extract(f"<html><body><nav>No</nav>{body}<footer>No</footer></body></html>") == want
 
 
+def test_near_copies_are_no_template(spark):
+    story = "<article><p>The long text that most pages of the host carry.<p>And a second paragraph of it, as long.<div>Day {n}</div></article>"
+    data = [(i, "http://a.example.com/", page(i, story if i < 16 else "<article><p>Other text " + "x" * (200 + i) + "</article>")) for i in range(18)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_pages(pages(spark, data)).collect()}
+    assert all(got[i] == f"The long text that most pages of the host carry.\nAnd a second paragraph of it, as long.\nDay {i}" for i in range(16))
+    assert all(got[i] == "Other text " + "x" * (200 + i) for i in (16, 17))
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_records(version):
     content = b"HTTP/1.0 200 OK\r\nX: y\r\n\r\nbody\n"
