@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. The smallest page of a host is its reference; every other page's DOM tree is aligned
+Pages of one host share a template. A page of median size is the reference of its host; every other page's DOM tree is aligned
 with it by simple tree matching (the best order-keeping pairing of children with equal labels, recursively; runs of equal siblings count
-as one node). A reference node whose text is the same on most pages that otherwise differ is template and is left out; pages that share
+as one node, and the texts of the single siblings are looked up in the run). A reference node whose text is the same on most pages that otherwise differ is template and is left out; pages that share
 more than half of the article's text with the reference are copies of it and do not count. Varying
 slots are content. Within the slots the article is what lies in the article elements, the main element or elements of a telling class if
 they hold most of the text (of several, what lies in the least element around them), or else in the body, without
@@ -354,6 +354,14 @@ class Reference:
         self.place = {id(s): i for i, s in enumerate(self.nodes)}
         self.texts = [text_of(s.nodes) for s in self.nodes]
         self.blocks = article_blocks(self.root.nodes[0])
+        # siblings that a run joins have places of their own, after those of the nodes
+        self.singles: dict[int, list[tuple[int, str]]] = {}
+        place = len(self.nodes)
+        for i, s in enumerate(self.nodes):
+            if len(s.nodes) > 1:
+                texts = sorted({text_of([n]) for n in s.nodes} - {""})
+                self.singles[i] = [(place + k, t) for k, t in enumerate(texts)]
+                place += len(texts)
 
 
 def article_blocks(root: Node) -> list[str]:
@@ -374,6 +382,9 @@ def extract(html: str, reference: Reference | None = None, constant: frozenset[i
     skip: set[int] = set()
     if reference is not None and constant:
         for r, own in match(reference.root, Shape("#root", [root]))[1]:
+            single = {t for p, t in reference.singles.get(reference.place[id(r)], ()) if p in constant}
+            if single:
+                skip |= {id(n) for n in own.nodes if text_of([n]) in single}
             if reference.place[id(r)] in constant:
                 skip |= {id(n) for n in own.nodes if text_of([n]) in reference.texts[reference.place[id(r)]]}
     article, out = article_of(root, skip)
@@ -394,8 +405,9 @@ def induce(pages: DataFrame) -> DataFrame:
     """(host, reference, constant): the reference page of each host and its template nodes, from all pages."""
     named = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     named = named.where(F.length("html") > 0)
-    references = named.groupBy("host").agg(F.min(F.struct(F.length("html").alias("size"), "html")).alias("least"))
-    references = materialize(references.select("host", F.col("least.html").alias("reference")), "references")
+    typical = materialize(named.groupBy("host").agg(F.percentile_approx(F.length("html"), 0.5).alias("size")), "reference-sizes")
+    references = named.join(_small(typical), "host").where(F.length("html") == F.col("size")).groupBy("host").agg(F.min("html").alias("reference"))
+    references = materialize(references, "references")
 
     def align(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Reference] = {}
@@ -415,6 +427,12 @@ def induce(pages: DataFrame) -> DataFrame:
                     count = sums.setdefault((host, place), [0, 0])
                     count[0] += 1
                     count[1] += bool(reference.texts[place]) and text_of(own.nodes) == reference.texts[place]
+                    if place in reference.singles:
+                        texts = {text_of([n]) for n in own.nodes}
+                        for p, t in reference.singles[place]:
+                            count = sums.setdefault((host, p), [0, 0])
+                            count[0] += 1
+                            count[1] += t in texts
             rows = [(h, p, *c) for (h, p), c in sums.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
                 (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "place", "pages", "same"])

@@ -94,6 +94,14 @@ def test_near_copies_are_no_template(spark):
     assert all(got[i] == "Other text " + "x" * (200 + i) for i in (16, 17))
 
 
+def test_reference_is_typical_and_siblings_are_single(spark):
+    body = "<article><p>Text {n} " + "of one page " * 6 + "<p>Follow our news</p><p>More of {n}</p></article><div>Standing line</div>"
+    data = [(i, "http://a.example.com/", f"<body>{body.format(n=i)}</body>") for i in range(9)] + [(20, "http://a.example.com/", "x")]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_pages(pages(spark, data)).collect()}
+    assert got[20] == "x"
+    assert all(got[i] == f"Text {i} " + "of one page " * 5 + f"of one page\nMore of {i}" for i in range(9))
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_records(version):
     content = b"HTTP/1.0 200 OK\r\nX: y\r\n\r\nbody\n"
