@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, bpe, decontaminate, forest, minhash, quality, secrets, sharding, wavelet, wrapper
+from . import archives, bpe, decontaminate, forest, infill, minhash, negatives, quality, rules, secrets, sharding, wavelet, wrapper
 from .shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,5 +76,22 @@ def op10_arc_to_warc(spark, sf):
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op11_infilled_documents(spark, sf):
+    return infill.digests(_table(spark, sf, "documents"))
+
+
+@query
+def op12_hard_negatives(spark, sf):
+    vectors = _table(spark, sf, "embeddings").withColumn("label", negatives.relabelled())
+    return negatives.mine(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query
+def op13_quality_rules(spark, sf):
+    return rules.verdicts(_table(spark, sf, "documents"))
+
+
 def sql() -> dict[str, str]:
-    return {"op3_near_duplicates": minhash.sql(), "op4_jump_shards": sharding.sql(), "op5_benchmark_windows": decontaminate.sql(), "op10_arc_to_warc": archives.sql()}
+    return {"op3_near_duplicates": minhash.sql(), "op4_jump_shards": sharding.sql(), "op5_benchmark_windows": decontaminate.sql(), "op10_arc_to_warc": archives.sql(),
+            "op11_infilled_documents": infill.sql(), "op12_hard_negatives": negatives.sql(), "op13_quality_rules": rules.sql()}
