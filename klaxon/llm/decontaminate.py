@@ -1,13 +1,13 @@
 """Benchmark windows inside documents, by a prefix-filtered join.
 
-A window of ten consecutive item words occurs in a document only if all of its words do. So its words are ordered by rarity
-in the corpus, and for exact containment the necessary prefix is the single rarest word: document words are joined with it alone.
-The word's offset in the window and the two lengths bound where the window would lie, and its neighbours have to agree; what fits is
-verified word by word on the whole text. Only DataFrame functions are used.
-
-Words occur in every document, so rows are never grouped by word before a combine, and the sides that words are joined
-with are broadcast only after their stored bytes are checked (``BROADCAST_BYTES``); beyond that Spark shuffles both and splits
-frequent words.
+A window of ten consecutive item words occurs in a document only if all of its three-word shingles do. So the shingles of a window are
+ordered by rarity in the corpus, and for exact containment the necessary prefix is the single rarest one: places in documents are
+joined with it alone. Its offset in the window and the two lengths bound where the window would lie; there all other shingles of the window
+have to stand as well, and what fits is verified word by word on the whole text. Only DataFrame functions are used.
+
+Every text is cut into words once. Of its shingles only those that some window holds leave the task; they are counted, joined and compared from
+there, and the texts of the few documents with a match are cut again for the verification. The shingles of windows are broadcast
+only after their number is checked (``BROADCAST_BYTES``); beyond that Spark shuffles both sides.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 WINDOW_WORDS = 10
+SHINGLE = 3
 BROADCAST_BYTES = 24 << 20
 UPPER, LOWER = ("".join(chr(c) for c in range(ord(a), ord(a) + 26)) for a in "Aa")
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,9 +38,14 @@ def document_key(document: str = "doc_id", text: str = "text") -> Column:
 
 
 def _small(stored: DataFrame) -> DataFrame:
-    """Marks a stored table for broadcast if its text stays below ``BROADCAST_BYTES``."""
+    """Marks a stored table of fixed-width columns for broadcast if it stays below ``BROADCAST_BYTES``."""
+    return F.broadcast(stored) if stored.count() * (16 + 8 * len(stored.columns)) <= BROADCAST_BYTES else stored
+
+
+def _small_texts(stored: DataFrame) -> DataFrame:
+    """The same for a table with texts, whose bytes are summed."""
     texts = [F.octet_length(c) for c, kind in stored.dtypes if kind == "string"]
-    size = stored.agg(F.sum(reduce(lambda a, b: a + b, texts) + F.lit(32))).first()[0] or 0
+    size = stored.agg(F.sum(reduce(lambda a, b: a + b, texts) + F.lit(64))).first()[0] or 0
     return F.broadcast(stored) if size <= BROADCAST_BYTES else stored
 
 
@@ -52,30 +58,58 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFra
     return rows.distinct()
 
 
-def prefix_table(documents: DataFrame, windows: DataFrame) -> DataFrame:
-    """One row per distinct window whose words all occur: its rarest word (ties: smaller word), that word's first offset, the words before
-    and after it in the window (null at its ends), its length."""
-    split = windows.select("window", "length").distinct().select(
-        "window", "length", F.posexplode(F.split("window", " ")).alias("offset", "word"))
-    vocabulary = _small(materialize(split.select("word").distinct(), "benchmark-words"))
-    seen = documents.select(F.explode(words_of(F.col("text"))).alias("word"))
-    counts = seen.join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    ranked = split.join(counts, "word", "left").groupBy("window", "length").agg(
-        F.min(F.struct("n", "word", "offset")).alias("rarest"), F.min(F.coalesce("n", F.lit(0))).alias("least"))
-    ranked = ranked.where("least > 0").select("window", "length", "rarest.word", "rarest.offset", F.split("window", " ").alias("w"))
-    return ranked.select("window", "length", "word", "offset", F.get("w", F.col("offset") - 1).alias("before"),
-                         F.get("w", F.col("offset") + 1).alias("after"))
-
-
-def candidates(documents: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(key, start, length, window) wherever the rarest word stands with room for the window around it and the right neighbours."""
-    words = documents.select("key", words_of(F.col("text")).alias("w")).select(
-        "key", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("place", "word"))
-    words = words.select("key", "n_words", "place", "word", F.get("w", F.col("place") - 1).alias("left"), F.get("w", F.col("place") + 1).alias("right"))
+def shingles(words: Column, size: int) -> Column:
+    """Hashes of all runs of ``size`` words, in order; equal for runs that differ in case only."""
+    last = F.size(words) - size
+    run = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)])
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), run)).otherwise(F.array().cast("array<bigint>"))
+
+
+def window_shingles(windows: DataFrame) -> DataFrame:
+    """(window, length, offset, shingle) of distinct windows; one shorter than ``SHINGLE`` is a shingle itself."""
+    rows = windows.select("window", "length").distinct().withColumn("w", F.split(F.lower("window"), " "))
+    found = reduce(lambda rest, n: F.when(F.col("length") == n, shingles(F.col("w"), n)).otherwise(rest), range(1, SHINGLE), shingles(F.col("w"), SHINGLE))
+    return rows.select("window", "length", F.posexplode(found).alias("offset", "shingle"))
+
+
+def places(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, doc_id, n_words, place, shingle): where the shingles of windows stand, and one row with place -1 for every document.
+
+    A text in lower case has the same word borders as with A-Z lowered only, and words that are equal with A-Z lowered stay equal.
+    """
+    sizes = sorted((r[0] for r in wanted.select(F.least("length", F.lit(SHINGLE))).distinct().collect()), reverse=True)  # of 1 to SHINGLE
+    mark = documents.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("shingle"))
+    known = _small(materialize(wanted.select("shingle").union(mark).distinct(), "benchmark-shingles"))
+    cut = documents.select("key", "doc_id", F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(WORD), F.lit(0)).alias("w"))
+    every = F.concat(F.array(F.lit(0).cast("bigint")), *[shingles(F.col("w"), n) for n in sizes])
+    rows = cut.select("key", "doc_id", F.size("w").alias("n_words"), F.posexplode(every).alias("at", "shingle"))
+    place, start = F.when(F.col("at") == 0, -1), F.lit(1)
+    for n in sizes:
+        end = start + F.greatest(F.col("n_words") - n + 1, F.lit(0))
+        place, start = place.when(F.col("at") < end, F.col("at") - start), end
+    return rows.join(known, "shingle").select("key", "doc_id", "n_words", place.alias("place"), "shingle")
+
+
+def prefixes(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """One row per window whose shingles all occur: its rarest one (ties: smaller hash), that one's first offset, the window's length and number of shingles."""
+    counts = found.groupBy("shingle").agg(F.count("*").alias("n"))
+    ranked = wanted.join(counts, "shingle", "left").groupBy("window", "length").agg(
+        F.min(F.struct("n", "shingle", "offset")).alias("rarest"), F.min(F.coalesce("n", F.lit(0))).alias("least"), F.count("*").alias("parts"))
+    return ranked.where("least > 0").select("window", "length", "parts", "rarest.shingle", "rarest.offset")
+
+
+def matches(found: DataFrame, wanted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(key, start, length, window) wherever all shingles of a window stand in order.
+
+    The rarest shingle proposes the start, within the bounds that the two lengths set; the others are then looked up at their places.
+    """
+    first = _small_texts(materialize(prefixes(wanted, found), "benchmark-prefixes"))
     start = F.col("place") - F.col("offset")
-    beside = (F.col("before").isNull() | (F.col("before") == F.col("left"))) & (F.col("after").isNull() | (F.col("after") == F.col("right")))
-    found = words.join(prefixes, "word").where((start >= 0) & (start + F.col("length") <= F.col("n_words")) & beside)
-    return found.select("key", start.alias("start"), "length", "window")
+    proposed = found.join(first, "shingle").join(sizes, "key").where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
+    proposed = proposed.select("key", start.alias("start"), "length", "window", "parts").distinct()
+    looked = proposed.join(wanted.select("window", "offset", "shingle"), "window").withColumn("place", F.col("start") + F.col("offset"))
+    seen = looked.join(found, ["key", "place", "shingle"], "left_semi").groupBy("key", "start", "length", "window", "parts").agg(F.count("*").alias("n"))
+    return seen.where("n = parts").select("key", "start", "length", "window")
 
 
 def covered(hits: Column) -> Column:
@@ -96,25 +130,28 @@ def measure(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS
     Repeated rows each get their row, with equal results. Nulls and texts without words are clean with 0 words; without
     documents or items every count is 0. Extra columns are not looked at.
     """
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    keyed = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("key", document_key())
     windows = materialize(benchmark_windows(benchmark, size), "benchmark-windows")
-    prefixes = _small(materialize(prefix_table(docs, windows), "benchmark-prefixes"))
-    keyed = docs.withColumn("key", document_key())
-    places = candidates(keyed, prefixes).groupBy("key").agg(F.collect_set(F.struct("start", "length", "window")).alias("places"))
-    joined = keyed.join(places, "key", "left").withColumn("w", words_of(F.col("text")))
+    wanted = materialize(window_shingles(windows), "window-shingles")
+    stored = materialize(places(keyed, wanted), "benchmark-places")
+    found = materialize(stored.where("place >= 0").select("key", "place", "shingle").distinct(), "places")
+    rows = stored.where("place < 0").select("key", "doc_id", "n_words")
+    hits = materialize(matches(found, wanted, rows.select("key", "n_words").distinct()), "benchmark-matches")
+    # a place holds at most one window of each length, so what is collected is bounded by the text that it is compared with
+    gathered = hits.groupBy("key").agg(F.collect_set(F.struct("start", "length", "window")).alias("places"))
+    texts = keyed.join(gathered, "key").dropDuplicates(["key"]).select("key", "places", words_of(F.col("text")).alias("w"))
     fits = lambda c: F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ") == c["window"]
-    # documents without candidates have null places; the verification is only evaluated for the others
-    hits = F.when(F.col("places").isNotNull(), F.array_sort(F.filter("places", fits)))
-    verified = joined.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), hits.alias("hits")).select(
-        "doc_id", "key", "n_words", F.coalesce(covered(F.col("hits")), F.lit(0).cast("long")).alias("n_hit"),
-        F.array_distinct(F.transform("hits", lambda h: h["window"])).alias("windows"))
-    verified = materialize(verified, "benchmark-hits")
-    items = verified.where("n_hit > 0").select("key", F.explode("windows").alias("window")).distinct()
-    items = items.join(windows.select("item", "window"), "window").groupBy("key").agg(F.collect_set("item").alias("items"))
-    result = verified.drop("windows").join(items, "key", "left")
+    verified = texts.select("key", F.array_sort(F.filter("places", fits)).alias("hits")).where(F.size("hits") > 0)
+    verified = materialize(verified.select("key", covered(F.col("hits")).alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["window"])).alias("windows")), "benchmark-hits")
+    items = verified.select("key", F.explode("windows").alias("window")).join(windows.select("item", "window"), "window").groupBy("key").agg(
+        F.collect_set("item").alias("items"))
+    named = verified.select("key", "n_hit").join(items, "key")
+    result = rows.join(named, "key", "left")
     names = F.coalesce(F.array_join(F.array_sort("items"), ","), F.lit(""))
-    return result.select("doc_id", "key", "n_words", "n_hit", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-                         F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
+    return result.select("doc_id", "key", F.col("n_words").cast("bigint").alias("n_words"), n_hit.alias("n_hit"),
+                         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("bigint").alias("n_items"),
+                         F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
