@@ -5,17 +5,21 @@ A document is the set of its distinct 5-word shingles. Equal sets form a class a
 with probability (1 + J) / 2. Classes that share a band are candidates. Their sketches are compared batch by batch, and a pair is
 dropped as soon as the posterior probability of the wanted similarity falls below ``MISS``. Survivors are verified exactly on the
 full sets of their whole texts, so no wrong link remains; a right one is missed with the probability of no shared band
-(1e-4 at 0.85, 3e-9 at 0.9) or about ``MISS``.
-
-Large groups of near copies are not expanded into all pairs. Members of a band bucket are first verified against its least and
-greatest member; then only pairs of members that are still in different components are looked at, and in each bucket only
-against the members outside its largest component. Every candidate pair is thus verified or already connected.
+(``BAND_MISS`` at the wanted similarity, far less above it) or about ``MISS``.
+
+Large groups of near copies are not expanded into all pairs. In each bucket the member that shares most buckets is the hub, and all others
+are verified against it. What is left are pairs in different components, at least one of which is not alike its hub; they can be alike only if they share
+a shingle that the hub lacks, or if both are much of the hub's set without the same shingles (``_close``). So members meet again
+in buckets of (hub, shingle beyond the hub), which get their own hubs, until the pairs left are few (``PAIRS_PER_MEMBER``)
+or ``LEVELS`` is reached; those are all looked at. Random edits of one text share few such shingles, so pairs grow with the rows. This
+step is exact; no candidate is dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +33,14 @@ from .decontaminate import document_key
 
 SHINGLE = 5
 SIMILARITY = (85, 100)
-BANDS, ROWS = 60, 12
 HASHES = 1024
+BAND_HASHES = 768
+BAND_MISS = 1e-4
 BATCHES = (256, 512, 1024)
 MISS = 1e-5
 SLICE = 512
+LEVELS = 4
+PAIRS_PER_MEMBER = 8
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -42,7 +49,18 @@ def _seeds(n: int, salt: int) -> np.ndarray:
     return np.random.default_rng(salt).integers(0, 1 << 32, n, dtype=np.uint32)
 
 
-_A, _B, _C = _seeds(HASHES, 1) | 1, _seeds(HASHES, 2), _seeds(ROWS, 3).astype(np.uint64) | 1
+_A, _B, _C = _seeds(HASHES, 1) | 1, _seeds(HASHES, 2), _seeds(HASHES, 3).astype(np.uint64) | 1
+
+
+@lru_cache
+def band_shape(similarity: tuple[int, int] = SIMILARITY) -> tuple[int, int]:
+    """Bands and rows: most rows with which ``BAND_HASHES`` minima share no band with a probability of at most ``BAND_MISS``."""
+    j = similarity[0] / similarity[1]
+    for rows in range(32, 0, -1):
+        bands = 1 if j ** rows >= 1 else ceil(log(BAND_MISS) / log(1 - j ** rows))
+        if bands * rows <= BAND_HASHES:
+            return bands, rows
+    raise ValueError(f"a similarity of {j} is too low for {BAND_HASHES} minima")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -82,15 +100,16 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(total)
 
 
-def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signature(found: np.ndarray, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (signed 64-bit) and the packed sketch of a non-empty set."""
+    n_bands, rows = shape
     values = (mixed(found + np.uint64(77)) >> np.uint64(32)).astype(np.uint32)
     least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     for start in range(0, len(values), SLICE):
         part = values[start:start + SLICE]
         np.minimum(least, (_A[:, None] * part[None, :] + _B[:, None]).min(axis=1), out=least)
-    bands = least[:BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-    keys = mixed((mixed(bands + _C) * _C).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    bands = least[:n_bands * rows].reshape(n_bands, rows).astype(np.uint64)
+    keys = mixed((mixed(bands + _C[:rows]) * _C[:rows]).sum(axis=1, dtype=np.uint64) + np.arange(n_bands, dtype=np.uint64))
     bits = ((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
     return keys.view(np.int64), np.packbits(bits).view(">i8").astype(np.int64)
 
@@ -120,14 +139,16 @@ def mismatch_bounds(batches=BATCHES, similarity: float = SIMILARITY[0] / SIMILAR
     return bounds
 
 
-def _sketches(documents: DataFrame) -> DataFrame:
+def _sketches(documents: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(key, doc_id, n, set_key, bands, sketch) of every document, stored with a row number."""
+    shape = band_shape(similarity)
+
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
             for start in range(0, len(batch), 200):
                 part = batch.slice(start, 200)
                 sets = [shingles(t.as_py()) for t in part.column(2)]
-                signs = [signature(s) if len(s) else (np.zeros(0, np.int64), np.zeros(0, np.int64)) for s in sets]
+                signs = [signature(s, shape) if len(s) else (np.zeros(0, np.int64), np.zeros(0, np.int64)) for s in sets]
                 digests = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()),
@@ -139,83 +160,162 @@ def _sketches(documents: DataFrame) -> DataFrame:
     return materialize(found.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
 
-def _near(a: str, b: str) -> Column:
+def _near(a: str, b: str, similarity: tuple[int, int]) -> Column:
     """Length bound and the batches of sketch bits, evaluated in order until one fails."""
-    low, high = SIMILARITY
+    low, high = similarity
     n = F.least(f"{a}.n", f"{b}.n") * high >= F.greatest(f"{a}.n", f"{b}.n") * low
     differs = lambda i: F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i]))
     tests = [n]
-    for bits, most in zip(BATCHES, mismatch_bounds()):
+    for bits, most in zip(BATCHES, mismatch_bounds(similarity=low / high)):
         tests.append(reduce(lambda x, y: x + y, [differs(i) for i in range(bits // 64)]) <= most)
     return reduce(lambda x, y: x & y, tests)
 
 
-def _pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _pruned(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) whose sketches do not rule the similarity out."""
     sides = classes.select("node", "n", "sketch")
     joined = pairs.join(sides.alias("x"), F.col("a") == F.col("x.node"))
-    return joined.join(sides.alias("y"), (F.col("b") == F.col("y.node")) & _near("x", "y")).select("a", "b")
+    return joined.join(sides.alias("y"), (F.col("b") == F.col("y.node")) & _near("x", "y", similarity)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Pairs that reach the similarity on the full sets of their texts. Texts are fetched for the nodes of pairs only."""
+def _with_texts(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(a, b, text_a, text_b), rows of one a mostly together. Texts are fetched for the nodes of pairs only."""
     pairs = materialize(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = classes.select("node", "key").join(nodes, "node").select("node", F.col("key").alias("__key"))
     texts = documents.select(document_key().alias("__key"), "text").join(wanted, "__key").dropDuplicates(["node"]).select("node", "text")
     texts = materialize(texts, "texts")
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    joined = joined.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    return joined.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+
 
+def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs that reach the similarity on the full sets of their texts."""
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, None
         for batch in incoming:
             keep = []
-            for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3))):
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if a != held:
                     held, own = a, shingles(x.as_py())
-                keep.append(alike(own, shingles(y.as_py())))
+                keep.append(alike(own, shingles(y.as_py()), similarity))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(joined.mapInArrow(run, "a bigint, b bigint"), "links")
+    return materialize(_with_texts(pairs, classes, documents).mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidate pairs that the components so far leave apart: per bucket, those of the members outside its largest component."""
-    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-    open_buckets = sizes.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("largest"), F.count("*").alias("n")).where("n > 1")
-    left = placed.join(open_buckets.select("bucket", F.col("largest.root").alias("main")), "bucket")
-    left = materialize(left.join(classes.select("node", "n", "sketch"), "node"), "open-buckets")
-    x, y = left.where("root <> main").alias("x"), left.alias("y")
-    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    found = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & once & _near("x", "y"))
-    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def _beyond_hubs(ends: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(hub, node, added, more, missing, total): shingles that only the node has, their number, the number only the hub has, the node's set size."""
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, None
+        for batch in incoming:
+            for start in range(0, len(batch), 200):
+                part = batch.slice(start, 200)
+                added, missing, total = [], [], []
+                for a, x, y in zip(part.column(0).to_pylist(), part.column(2), part.column(3)):
+                    if a != held:
+                        held, own = a, shingles(x.as_py())
+                    other = shingles(y.as_py())
+                    added.append(np.setdiff1d(other, own, assume_unique=True).view(np.int64))
+                    missing.append(len(own) - (len(other) - len(added[-1])))
+                    total.append(len(other))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(added, pa.list_(pa.int64())), pa.array([len(x) for x in added], pa.int64()),
+                     pa.array(missing, pa.int64()), pa.array(total, pa.int64())], names=["hub", "node", "added", "more", "missing", "total"])
 
+    pairs = ends.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    found = _with_texts(pairs, classes, documents).mapInArrow(run, "hub bigint, node bigint, added array<bigint>, more bigint, missing bigint, total bigint")
+    return materialize(found, "beyond-hubs")
 
-def groups(documents: DataFrame) -> DataFrame:
-    """key, doc_id, n_shingles, group and component_id of every document.
+
+def _close(beyond: DataFrame, roots: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs of different components that may be alike without a common shingle beyond the hub.
+
+    Alike sets of n and n' shingles differ in at most d = (1 - J) / (1 + J) * (n + n') of them. Of what both lack from the hub they can share no more than
+    the lesser number, so they share an added shingle unless more + more' + |missing - missing'| <= d. That is looked up for the few
+    distinct (more, missing) of a hub first.
+    """
+    low, high = similarity
+    cell = beyond.select("hub", "more", "missing", "total").distinct()
+    x, y = cell.alias("x"), cell.alias("y")
+    apart = F.col("x.more") + F.col("y.more") + F.abs(F.col("x.missing") - F.col("y.missing"))
+    may = apart * (high + low) <= (F.col("x.total") + F.col("y.total")) * (high - low)
+    first = ((F.col("x.more") < F.col("y.more")) | ((F.col("x.more") == F.col("y.more")) & (F.col("x.missing") <= F.col("y.missing"))))
+    cells = x.join(y, (F.col("x.hub") == F.col("y.hub")) & first & may).select(
+        "x.hub", "x.more", "x.missing", F.col("y.more").alias("more_y"), F.col("y.missing").alias("missing_y"))
+    placed = beyond.select("hub", "node", "more", "missing").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    other = placed.select("hub", F.col("node").alias("node_y"), F.col("more").alias("more_y"), F.col("missing").alias("missing_y"), F.col("root").alias("root_y"))
+    # cells whose members all are of one component meet nobody, so they are left out before their members are joined
+    roots_of = lambda t, cols: t.groupBy(*cols).agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    left = roots_of(placed, ["hub", "more", "missing"])
+    right = left.select("hub", F.col("more").alias("more_y"), F.col("missing").alias("missing_y"), F.col("least").alias("least_y"), F.col("most").alias("most_y"))
+    one = (F.col("least") == F.col("most")) & (F.col("least_y") == F.col("most_y")) & (F.col("least") == F.col("least_y"))
+    cells = cells.join(left, ["hub", "more", "missing"]).join(right, ["hub", "more_y", "missing_y"]).where(~one).drop("least", "most", "least_y", "most_y")
+    met = placed.join(cells, ["hub", "more", "missing"]).join(other, ["hub", "more_y", "missing_y"]).where(
+        (F.col("root") != F.col("root_y")) & (F.col("node") != F.col("node_y")))
+    return met.select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
+
+
+def _met(members: DataFrame, roots: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs of members of a bucket in different components whose sketches do not rule the similarity out."""
+    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    sides = materialize(placed.join(classes.select("node", "n", "sketch"), "node"), "open-buckets")
+    x, y = sides.alias("x"), sides.alias("y")
+    found = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _near(
+        "x", "y", similarity))
+    return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _shared(members: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Members of buckets with at least two nodes (of at least two components)."""
+    placed = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return materialize(members.join(ends.select("bucket"), "bucket"), "members")
+
+
+def linked(members: DataFrame, classes: DataFrame, documents: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(node, root) of every node that is alike another one of its bucket or of a chain of such nodes."""
+    members, ties, roots = _shared(members), None, None
+    for level in range(LEVELS):
+        degree = members.groupBy("node").agg(F.count("*").alias("degree"))
+        hubs = members.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("first"))).alias("top"))
+        ends = members.join(hubs, "bucket").select((-F.col("top.first")).alias("hub"), "node").where("hub <> node").distinct()
+        ends = materialize(ends, "hubs")
+        found = _verified(_pruned(ends.select(F.col("hub").alias("a"), F.col("node").alias("b")), classes, similarity), classes, documents, similarity)
+        ties = found if ties is None else ties.union(found)
+        roots = materialize(components(ties), "roots")
+        ties = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        placed = ends.join(roots, "node", "left").select("hub", F.coalesce("root", "node").alias("root"))
+        split = placed.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        left = materialize(ends.join(split.select("hub"), "hub"), "split-hubs")
+        if left.isEmpty():
+            return roots
+        beyond = _beyond_hubs(left, classes, documents)
+        close = _verified(_pruned(_close(beyond, roots, similarity), classes, similarity), classes, documents, similarity)
+        again = beyond.select("hub", "node", F.explode("added").alias("shingle")).select(F.xxhash64("hub", "shingle").alias("bucket"), "node")
+        members = _shared(again.distinct(), roots)
+        ties = ties.union(close)
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("m")).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("pairs")).first()
+        if sizes["n"] is None or level == LEVELS - 1 or sizes["pairs"] <= PAIRS_PER_MEMBER * sizes["n"]:
+            ties = ties.union(_verified(_met(members, roots, classes, similarity), classes, documents, similarity))
+            break
+    return materialize(components(ties), "roots")
+
+
+def groups(documents: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """key, doc_id, n_shingles, group and component_id of every document; linked from ``similarity`` (a fraction) on.
 
     ``group`` is equal within a group of near-duplicates; ``component_id`` is its least doc_id (nulls aside). Texts without words
     are groups of their own, also several under one id. Repeated rows, null ids and an empty table are allowed; extra columns are not
     looked at.
     """
-    rows = _sketches(documents)
+    rows = _sketches(documents, similarity)
     full = rows.where("n > 0")
     first = full.groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     first = materialize(first, "classes")
     classes = full.join(first.select("node"), F.col("row") == F.col("node")).select("node", "key", "n", "bands", "sketch")
     classes = materialize(classes, "class-sketches")
-    bands = classes.select(F.explode("bands").alias("bucket"), "node")
-    shared = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members = materialize(bands.join(shared, "bucket"), "band-members")
-    ends = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).union(
-        members.where("node <> high and node <> low").select(F.col("node").alias("a"), F.col("high").alias("b"))).distinct()
-    links = _verified(_pruned(ends, classes), classes, documents)
-    roots = materialize(components(links), "roots")
-    more = _verified(_rest(members.select("bucket", "node"), classes, roots), classes, documents)
-    tied = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
-    roots = materialize(components(tied), "roots")
+    roots = linked(classes.select(F.explode("bands").alias("bucket"), "node"), classes, documents, similarity)
     named = first.join(roots, "node", "left").select("set_key", "least", F.coalesce("root", "node").alias("group"))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
     named = named.join(least, "group").select("set_key", "group", "component_id")
@@ -230,9 +330,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return groups(documents).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicated(documents: DataFrame) -> DataFrame:
+def deduplicated(documents: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """One document of each group, that of the least doc_id (then key), with all columns; of repeated rows one stays."""
-    found = materialize(groups(documents), "groups")
+    found = materialize(groups(documents, similarity), "groups")
     best = found.where("n_shingles > 0").groupBy("group").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"))).alias("best"))
     keys = best.select(F.col("best.key").alias("__key"))

@@ -44,13 +44,13 @@ def sets(text):
     return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
 
 
-def grouped(docs):
+def grouped(docs, similarity=(85, 100)):
     """Brute force: group number of each row."""
     found = [sets(t) for _, t in docs]
     group = list(range(len(docs)))
     for i in range(len(docs)):
         for j in range(i):
-            if found[i] and 100 * len(found[i] & found[j]) >= 85 * len(found[i] | found[j]) and group[i] != group[j]:
+            if found[i] and similarity[1] * len(found[i] & found[j]) >= similarity[0] * len(found[i] | found[j]) and group[i] != group[j]:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     return found, group
@@ -96,7 +96,7 @@ def test_bounds_and_signatures():
     rnd = random.Random(6)
     words = prose(rnd, 4000)
     a, b = minhash.shingles(" ".join(words)), minhash.shingles(" ".join(words[:3900] + prose(rnd, 100)))
-    (ka, sa), (kb, sb) = minhash.signature(a), minhash.signature(b)
+    (ka, sa), (kb, sb) = minhash.signature(a, minhash.band_shape()), minhash.signature(b, minhash.band_shape())
     differ = sum(bin(int(x) ^ int(y) & 0xFFFFFFFFFFFFFFFF).count("1") if x >= 0 and y >= 0 else bin((int(x) ^ int(y)) & 0xFFFFFFFFFFFFFFFF).count("1")
                  for x, y in zip(sa, sb))
     assert differ < 90 and (ka == kb).any() and minhash.alike(a, b)
@@ -148,3 +148,52 @@ def test_large_word_tables_are_joined_by_shuffle(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     got = rows(decontaminate.measure(documents(spark, [(1, "zero one two three"), (2, "one two")]), bench), "doc_id", "n_hit")
     assert got == [(1, 3), (2, 0)]
+
+
+def family(size, seed=9):
+    """Copies of one text with three edits or more each, hardly alike another, some sub-families among them, and truncated copies."""
+    rnd = random.Random(seed)
+    base, out = prose(rnd, 150), []
+
+    def edited(words, n):
+        words = list(words)
+        for at in rnd.sample(range(len(words)), n):
+            words[at] = f"edit{rnd.random()}"
+        return words
+
+    for i in range(size):
+        out.append((i, " ".join(edited(base, rnd.randint(3, 4)))))
+    for f in range(4):
+        child = edited(base, 5)
+        out += [(size + 20 * f + k, " ".join(edited(child, k % 4))) for k in range(20)]
+    out += [(size + 200 + k, " ".join(base[:60 + 3 * k])) for k in range(25)]
+    return out
+
+
+def test_large_group_of_unlike_copies_is_not_expanded(spark, monkeypatch):
+    asked, verified = {}, minhash._verified
+
+    def counting(pairs, *rest):
+        asked[size] = asked.get(size, 0) + pairs.count()
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_verified", counting)
+    for size in (300,):
+        data = family(size)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(spark, data)).collect()}
+        _, group = grouped(data)
+        least = {g: min(i for (i, _), h in zip(data, group) if h == g) for g in group}
+        assert got == {i: least[g] for (i, _), g in zip(data, group)}
+        assert len(set(got.values())) > size / 2
+    assert asked[300] < 10 * 300
+
+
+def test_similarity_is_a_parameter(spark):
+    data = family(60) + copies()[:40]
+    for similarity in ((80, 100),):
+        bands, rows_ = minhash.band_shape(similarity)
+        assert bands * rows_ <= minhash.BAND_HASHES and (1 - (similarity[0] / similarity[1]) ** rows_) ** bands <= minhash.BAND_MISS
+        kept = {r["doc_id"] for r in minhash.deduplicated(documents(spark, data), similarity).collect()}
+        _, group = grouped(data, similarity)
+        assert kept == {min(i for (i, _), h in zip(data, group) if h == g) for g in group}
+    assert minhash.band_shape((85, 100)) == (61, 12)
