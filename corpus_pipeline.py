@@ -23,9 +23,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the least doc_id."""
+    """One document of each group of near-duplicates (five words, similarity 0.8): that of the least doc_id."""
     ship(spark)
-    return minhash.deduplicated(docs)
+    return minhash.deduplicated(docs, (80, 100))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
