@@ -25,7 +25,7 @@ def test_stages_equal_brute_force(spark):
     good = {r["doc_id"] for r in scored.where("predicted = 1").collect()}
     first = [(i, t) for i, t in start if i in good]
     assert state["quality classifier"] == dict(first)
-    _, group = grouped(first)
+    _, group = grouped(first, (80, 100))
     alone = {min(i for (i, _), h in zip(first, group) if h == g) for g in group}
     assert set(state["minhash near-dedup"]) == alone
     wins = {w for _, w in windows([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()])}
