@@ -139,8 +139,10 @@ def measure(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS
     hits = materialize(matches(found, wanted, rows.select("key", "n_words").distinct()), "benchmark-matches")
     # a place holds at most one window of each length, so what is collected is bounded by the text that it is compared with
     gathered = hits.groupBy("key").agg(F.collect_set(F.struct("start", "length", "window")).alias("places"))
-    texts = keyed.join(gathered, "key").dropDuplicates(["key"]).select("key", "places", words_of(F.col("text")).alias("w"))
-    fits = lambda c: F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ") == c["window"]
+    keys = _small_texts(materialize(hits.select("key").distinct(), "benchmark-keys"))
+    texts = keyed.join(keys, "key", "left_semi").dropDuplicates(["key"]).join(gathered, "key").select("key", "places", words_of(F.col("text")).alias("w"))
+    # the words are named twice, so the optimizer cuts a text once and not once for every place
+    fits = lambda c: (F.size("w") >= c["start"] + c["length"]) & (F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ") == c["window"])
     verified = texts.select("key", F.array_sort(F.filter("places", fits)).alias("hits")).where(F.size("hits") > 0)
     verified = materialize(verified.select("key", covered(F.col("hits")).alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["window"])).alias("windows")), "benchmark-hits")
     items = verified.select("key", F.explode("windows").alias("window")).join(windows.select("item", "window"), "window").groupBy("key").agg(
