@@ -10,9 +10,9 @@ full sets of their whole texts, so no wrong link remains; a right one is missed
 Large groups of near copies are not expanded into all pairs. In each bucket the member that shares most buckets is the hub, and all others
 are verified against it. What is left are pairs in different components, at least one of which is not alike its hub; they can be alike only if they share
 a shingle that the hub lacks, or if both are much of the hub's set without the same shingles (``_close``). So members meet again
-in buckets of (hub, shingle beyond the hub), which get their own hubs, until the pairs left are few (``PAIRS_PER_MEMBER``)
-or ``LEVELS`` is reached; those are all looked at. Random edits of one text share few such shingles, so pairs grow with the rows. This
-step is exact; no candidate is dropped.
+only in buckets of (hub, shingle beyond the hub), and those of different components are looked at. This step is exact. Random edits of one text
+share few such shingles, so pairs grow with the rows; only a large group of copies that share text beyond their hub, and are still not
+alike, is looked at in all pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .components import components
-from .decontaminate import document_key
+from .decontaminate import BROADCAST_BYTES, document_key
 
 SHINGLE = 5
 SIMILARITY = (85, 100)
@@ -39,8 +39,6 @@ BAND_MISS = 1e-4
 BATCHES = (256, 512, 1024)
 MISS = 1e-5
 SLICE = 512
-LEVELS = 4
-PAIRS_PER_MEMBER = 8
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -182,7 +180,8 @@ def _with_texts(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> D
     """(a, b, text_a, text_b), rows of one a mostly together. Texts are fetched for the nodes of pairs only."""
     pairs = materialize(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.select("node", "key").join(nodes, "node").select("node", F.col("key").alias("__key"))
+    wanted = materialize(classes.select("node", "key").join(nodes, "node").select("node", F.col("key").alias("__key")), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() * 128 <= BROADCAST_BYTES else wanted
     texts = documents.select(document_key().alias("__key"), "text").join(wanted, "__key").dropDuplicates(["node"]).select("node", "text")
     texts = materialize(texts, "texts")
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -275,31 +274,24 @@ def _shared(members: DataFrame, roots: DataFrame | None = None) -> DataFrame:
 
 def linked(members: DataFrame, classes: DataFrame, documents: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(node, root) of every node that is alike another one of its bucket or of a chain of such nodes."""
-    members, ties, roots = _shared(members), None, None
-    for level in range(LEVELS):
-        degree = members.groupBy("node").agg(F.count("*").alias("degree"))
-        hubs = members.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("first"))).alias("top"))
-        ends = members.join(hubs, "bucket").select((-F.col("top.first")).alias("hub"), "node").where("hub <> node").distinct()
-        ends = materialize(ends, "hubs")
-        found = _verified(_pruned(ends.select(F.col("hub").alias("a"), F.col("node").alias("b")), classes, similarity), classes, documents, similarity)
-        ties = found if ties is None else ties.union(found)
-        roots = materialize(components(ties), "roots")
-        ties = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        placed = ends.join(roots, "node", "left").select("hub", F.coalesce("root", "node").alias("root"))
-        split = placed.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        left = materialize(ends.join(split.select("hub"), "hub"), "split-hubs")
-        if left.isEmpty():
-            return roots
-        beyond = _beyond_hubs(left, classes, documents)
-        close = _verified(_pruned(_close(beyond, roots, similarity), classes, similarity), classes, documents, similarity)
-        again = beyond.select("hub", "node", F.explode("added").alias("shingle")).select(F.xxhash64("hub", "shingle").alias("bucket"), "node")
-        members = _shared(again.distinct(), roots)
-        ties = ties.union(close)
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("m")).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("pairs")).first()
-        if sizes["n"] is None or level == LEVELS - 1 or sizes["pairs"] <= PAIRS_PER_MEMBER * sizes["n"]:
-            ties = ties.union(_verified(_met(members, roots, classes, similarity), classes, documents, similarity))
-            break
-    return materialize(components(ties), "roots")
+    members = _shared(members)
+    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
+    hubs = members.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("first"))).alias("top"))
+    spokes = members.join(hubs, "bucket").select("bucket", (-F.col("top.first")).alias("hub"), "node").where("hub <> node")
+    spokes = materialize(spokes, "spokes")
+    ends = spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    roots = materialize(components(_verified(_pruned(ends, classes, similarity), classes, documents, similarity)), "roots")
+    placed = spokes.join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("root"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    left = materialize(spokes.join(split.select("bucket"), "bucket").select("hub", "node").distinct(), "split-buckets")
+    if left.isEmpty():
+        return roots
+    beyond = _beyond_hubs(left, classes, documents)
+    again = beyond.select("hub", "node", F.explode("added").alias("shingle")).select(F.xxhash64("hub", "shingle").alias("bucket"), "node")
+    met = _met(_shared(again.distinct(), roots), roots, classes, similarity)
+    more = _verified(met.union(_pruned(_close(beyond, roots, similarity), classes, similarity)).distinct(), classes, documents, similarity)
+    tied = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+    return materialize(components(tied), "roots")
 
 
 def groups(documents: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
