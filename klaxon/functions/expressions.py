@@ -11,6 +11,10 @@ A missing field is NULL: comparing the field itself with ``==`` or ``!=`` is nul
 use makes the verdict NULL, i.e. no tick at all. Two fields are equal if both are numbers, texts or booleans and
 equal, or both are missing. Division follows floating point: ``x / 0`` is infinite, and comparing ``0 / 0`` is false in
 scheduled rules and no verdict in push rules. ``a ? b : c`` is a conditional.
+
+Fields nest: ``record.user.name``, ``record.user?.name``, ``record.tags[0]``. ``"a" in record.tags`` and ``len(record.tags)`` look into lists. A text that is
+no number has no value where a number is needed (``int(record.n)``). Spellings of other rule languages (``??``, ``**``, ``..``, ``max(a, b)``,
+``any(list, ...)``, ``+`` between texts) are refused with the spelling to use.
 """
 
 from __future__ import annotations
@@ -31,12 +35,18 @@ _TEXT_TESTS = {"contains", "startswith", "endswith", "matches", "like", "rlike",
 _NUMBER_FUNCTIONS = {"abs", "ceil", "floor", "round", "sqrt", "pow", "power", "greatest", "least", "isnan", "mod"}
 _TOKEN = re.compile(
     r"""(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')
-      | (?P<field>record\.(?P<dot>[A-Za-z_]\w*)|record\[\s*(?P<key>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')\s*\])
-      | (?P<number>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)
+      | (?P<field>record(?:\??\.[A-Za-z_]\w*|\[\s*(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\d+)\s*\])+)
+      | (?P<number>\d+(?:\.(?!\.)\d*)?(?:[eE][+-]?\d+)?|\.\d+)
       | (?P<word>[A-Za-z_]\w*)
-      | (?P<op>&&|\|\||==|!=|<=|>=|<>|[^\s])""",
+      | (?P<op>&&|\|\||==|!=|<=|>=|<>|\?\?|\*\*|\.\.|[^\s])""",
     re.VERBOSE,
 )
+_STEP = re.compile(r"""\.([A-Za-z_]\w*)|\[\s*("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')\s*\]|\[\s*(\d+)\s*\]""")
+# Spellings of other rule languages, and what to write here.
+_INSTEAD = {"??": "coalesce(a, b)", "**": "pow(a, b)", "..": "x BETWEEN a AND b", "#": '"a" in record.list or len(record.list)'}
+_INSTEAD_CALLS = {"max": "greatest(a, b)", "min": "least(a, b)", "any": '"a" in record.list', "all": '!("a" in record.list)', "none": '!("a" in record.list)'}
+_CASTS = {"int": "INT", "integer": "INT", "bigint": "BIGINT", "long": "BIGINT", "float": "DOUBLE", "double": "DOUBLE", "boolean": "BOOLEAN"}
+_PRINTED = {"string", "concat", "concat_ws"}
 
 
 class ExpressionError(ValueError):
@@ -63,7 +73,8 @@ def _tokens(source: str) -> list[tuple[str, str]]:
         if m["string"]:
             out.append(("string", _unquote(m["string"])))
         elif m["field"]:
-            out.append(("field", m["dot"] or _unquote(m["key"])))
+            path = tuple(dot or (int(place) if place else _unquote(key)) for dot, key, place in _STEP.findall(m["field"]))
+            out.append(("field", path[0] if len(path) == 1 else path))
         elif m["number"]:
             out.append(("number", m["number"]))
         elif m["word"]:
@@ -73,6 +84,28 @@ def _tokens(source: str) -> list[tuple[str, str]]:
     return out
 
 
+def _bare(tokens: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The same tokens without brackets around a lone field, which would hide it from its neighbours."""
+    out: list[tuple[str, str]] = []
+    for token in tokens:
+        out.append(token)
+        while len(out) >= 3 and out[-1] == ("op", ")") and out[-2][0] == "field" and out[-3] == ("op", "(") and (
+                len(out) == 3 or out[-4][0] != "word" or out[-4][1].lower() in ("and", "or", "not", "when", "then", "else")):
+            out[-3:] = [out[-2]]
+    return out
+
+
+def _refuse_other_spellings(tokens: list[tuple[str, str]]) -> None:
+    for i, (kind, text) in enumerate(tokens):
+        beside = [tokens[k] for k in (i - 1, i + 1) if 0 <= k < len(tokens)]
+        if kind == "op" and text in _INSTEAD:
+            raise ExpressionError(f"{text} is not known here; write {_INSTEAD[text]}")
+        if kind == "word" and text.lower() in _INSTEAD_CALLS and beside[-1] == ("op", "("):
+            raise ExpressionError(f"{text}() is not known here; write {_INSTEAD_CALLS[text.lower()]}")
+        if kind == "op" and text == "+" and any(t[0] == "string" for t in beside):
+            raise ExpressionError("texts are joined with concat(a, b), not with +")
+
+
 def _literal_kind(token: tuple[str, str]) -> str | None:
     kind, text = token
     if kind in ("string", "number"):
@@ -100,6 +133,8 @@ def _field_kind(tokens, i: int, calls: list[str], typed: Callable[[str], str | N
         return "present"
     if after[1] in _ARITHMETIC or before[1] in _ARITHMETIC:
         return "number"
+    if calls and calls[-1] in _PRINTED:
+        return "text"
     if calls and calls[-1]:
         return "number" if calls[-1] in _NUMBER_FUNCTIONS else typed(tokens[i][1]) or "string"
     return alone
@@ -196,7 +231,8 @@ def to_sql(
     ``field(kind, name)`` and ``feature(agg, name, window_ns)`` give the column name that
     holds a typed record field or a window aggregate.
     """
-    tokens = _tokens(source.strip())
+    tokens = _bare(_tokens(source.strip()))
+    _refuse_other_spellings(tokens)
     if not tokens:
         raise ExpressionError("no text")
     sql = " ".join(_render(tokens, mode, field, feature, typed))
@@ -218,7 +254,7 @@ def _render(tokens, mode, field, feature, typed, alone: str = "boolean") -> list
     i = 0
     while i < len(tokens):
         kind, text = tokens[i]
-        low = text.lower()
+        low = text.lower() if kind != "field" else ""
         follows = tokens[i + 1] if i + 1 < len(tokens) else ("end", "")
         call = kind == "word" and follows == ("op", "(")
         if call and (low in HELPERS or low == "regex_match"):
@@ -229,6 +265,23 @@ def _render(tokens, mode, field, feature, typed, alone: str = "boolean") -> list
             out.append(_helper(low, args[0][1], args[2][1], mode, field, feature))
             i += 6
             continue
+        at = lambda k: tokens[k] if k < len(tokens) else ("end", "")
+        if kind in ("string", "number") and at(i + 1) == ("word", "in") and at(i + 2)[0] == "field" and mode != "scheduled":
+            column = field("texts" if kind == "string" else "numbers", at(i + 2)[1])
+            out.append(f"array_contains({column}, {sql_string(text) if kind == 'string' else f'double({text})'})")
+            i += 3
+            continue
+        if call and low == "len" and at(i + 2)[0] == "field" and at(i + 3) == ("op", ")") and mode != "scheduled":
+            out.append(field("length", at(i + 2)[1]))
+            i += 4
+            continue
+        if call and low in _CASTS:
+            # text that is no number has no value, instead of failing the query
+            end = _operand_end(tokens, i)
+            inner = " ".join(_render(tokens[i + 2:end - 1], mode, field, feature, typed, typed(tokens[i + 2][1]) or "text" if tokens[i + 2][0] == "field" else "number"))
+            out.append(f"try_cast({inner} AS {_CASTS[low]})")
+            i = end
+            continue
         if _plain_pair(tokens, i) and mode != "scheduled":
             out.append(_compare_fields(text, follows[1], tokens[i + 2][1], field))
             i += 3

@@ -34,9 +34,17 @@ def compare(op: str, left: Column, right: float) -> Column:
     return test & ~F.isnan(left)
 
 
-def _variant_path(name: str) -> str:
-    quote = '"' if "'" in name else "'"
-    return f"$[{quote}{name}{quote}]"
+def steps(name: str | tuple) -> tuple:
+    """A field name as the steps of its path: texts go into maps, numbers into lists."""
+    return name if isinstance(name, tuple) else (name,)
+
+
+def _variant_path(name: str | tuple) -> str:
+    path = "$"
+    for step in steps(name):
+        quote = '"' if "'" in str(step) else "'"
+        path += f"[{step}]" if isinstance(step, int) else f"[{quote}{step}{quote}]"
+    return path
 
 
 def _variant_kind(record: Column, name: str) -> tuple[Column, Column]:
@@ -44,10 +52,22 @@ def _variant_kind(record: Column, name: str) -> tuple[Column, Column]:
     return F.schema_of_variant(F.try_variant_get(record, path, "variant")), F.lit(path)
 
 
-def _struct_type(record_type: T.DataType, name: str) -> T.DataType | None:
-    if isinstance(record_type, T.StructType) and name in record_type.names:
-        return record_type[name].dataType
-    return None
+def _struct_type(record_type: T.DataType, name: str | tuple) -> T.DataType | None:
+    for step in steps(name):
+        if isinstance(record_type, T.StructType) and step in record_type.names:
+            record_type = record_type[step].dataType
+        elif isinstance(record_type, T.ArrayType) and isinstance(step, int):
+            record_type = record_type.elementType
+        else:
+            return None
+    return record_type
+
+
+def _member(record: Column, name: str | tuple) -> Column:
+    """The column of a path that ``_struct_type`` knows; places beyond a list are NULL."""
+    for step in steps(name):
+        record = F.get(record, step) if isinstance(step, int) else record.getField(step)
+    return record
 
 
 def number_field(record: Column, record_type: T.DataType, name: str) -> Column:
@@ -57,7 +77,7 @@ def number_field(record: Column, record_type: T.DataType, name: str) -> Column:
         numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL"))
         return F.when(numeric, F.try_variant_get(record, _variant_path(name), "double"))
     if isinstance(_struct_type(record_type, name), _NUMERIC):
-        return record.getField(name).cast("double")
+        return _member(record, name).cast("double")
     return F.lit(None).cast("double")
 
 
@@ -75,7 +95,7 @@ def text_field(record: Column, record_type: T.DataType, name: str) -> Column:
     kind = _struct_type(record_type, name)
     if kind is None:
         return F.lit(None).cast("string")
-    value = record.getField(name)
+    value = _member(record, name)
     if isinstance(kind, (T.DoubleType, T.DecimalType)):
         return double_text(value)
     if isinstance(kind, T.FloatType):
@@ -89,7 +109,7 @@ def string_field(record: Column, record_type: T.DataType, name: str) -> Column:
         kind, _ = _variant_kind(record, name)
         return F.when(kind == "STRING", F.try_variant_get(record, _variant_path(name), "string"))
     if isinstance(_struct_type(record_type, name), T.StringType):
-        return record.getField(name)
+        return _member(record, name)
     return F.lit(None).cast("string")
 
 
@@ -99,7 +119,7 @@ def boolean_field(record: Column, record_type: T.DataType, name: str) -> Column:
         kind, _ = _variant_kind(record, name)
         return F.when(kind == "BOOLEAN", F.try_variant_get(record, _variant_path(name), "boolean"))
     if isinstance(_struct_type(record_type, name), T.BooleanType):
-        return record.getField(name)
+        return _member(record, name)
     return F.lit(None).cast("boolean")
 
 
@@ -118,10 +138,41 @@ def present_field(record: Column, record_type: T.DataType, name: str) -> Column:
         return F.when(kind != "VOID", F.lit(True))
     if _struct_type(record_type, name) is None:
         return F.lit(None).cast("boolean")
-    return F.when(record.getField(name).isNotNull(), F.lit(True))
+    return F.when(_member(record, name).isNotNull(), F.lit(True))
+
+
+def _elements(of: str, into: str):
+    """Accessor of a list field: its elements of one kind, others left out; NULL when the field is no list."""
+    kinds = ("STRING",) if of == "string" else ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
+
+    def read(record: Column, record_type: T.DataType, name: str | tuple) -> Column:
+        if isinstance(record_type, T.VariantType):
+            kind, _ = _variant_kind(record, name)
+            values = F.try_variant_get(record, _variant_path(name), "array<variant>")
+            fits = lambda v: F.rlike(F.schema_of_variant(v), F.lit("^(" + "|".join(kinds) + ")"))
+            return F.when(F.startswith(kind, F.lit("ARRAY")), F.transform(F.filter(values, fits), lambda v: F.try_variant_get(v, "$", into)))
+        kind = _struct_type(record_type, name)
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType if of == "string" else _NUMERIC):
+            return _member(record, name).cast(f"array<{into}>")
+        return F.lit(None).cast(f"array<{into}>")
+
+    return read
+
+
+def length_field(record: Column, record_type: T.DataType, name: str | tuple) -> Column:
+    """Characters of a text or elements of a list; NULL for anything else."""
+    if isinstance(record_type, T.VariantType):
+        kind, _ = _variant_kind(record, name)
+        listed = F.size(F.try_variant_get(record, _variant_path(name), "array<variant>"))
+        return F.when(kind == "STRING", F.length(F.try_variant_get(record, _variant_path(name), "string"))).when(
+            F.startswith(kind, F.lit("ARRAY")), listed)
+    kind = _struct_type(record_type, name)
+    if isinstance(kind, T.StringType):
+        return F.length(_member(record, name))
+    return F.size(_member(record, name)) if isinstance(kind, T.ArrayType) else F.lit(None).cast("int")
 
 
-ACCESSORS["present"] = present_field
+ACCESSORS |= {"present": present_field, "texts": _elements("string", "string"), "numbers": _elements("number", "double"), "length": length_field}
 
 
 def static_kind(record_type: T.DataType | None, name: str) -> str | None:

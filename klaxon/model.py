@@ -189,7 +189,8 @@ class SqlReturnsRows:
         return Template("rows=", "measure", f" (>={self.needed}?)")
 
 
-_FIELD_TYPES = {"number": "double", "text": "string", "string": "string", "boolean": "boolean", "present": "boolean"}
+_FIELD_TYPES = {"number": "double", "text": "string", "string": "string", "boolean": "boolean", "present": "boolean",
+                "texts": "array<string>", "numbers": "array<double>", "length": "int"}
 
 
 @lru_cache(maxsize=100_000)

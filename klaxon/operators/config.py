@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import OPS
 from ..functions.patterns import pattern_error
 from ..model import AGGREGATES, SCHEMAS, SEVERITIES, Rule, decode_condition
-from ..session import local_table
+from ..session import local_table, ship
 
 MAX_COMPILED_RULES = 10_000
 _SPEC = ("struct<field:string,op:string,value:double,agg:string,window:bigint,kind:string,pattern:string,"
@@ -54,6 +54,7 @@ def decode_rules(rules: DataFrame) -> DataFrame:
 
 def validate_rules(rules: DataFrame) -> DataFrame:
     """Add ``errors`` (array of text, empty when the rule can run)."""
+    ship(rules.sparkSession)
     d = decode_rules(rules)
     kind, s = F.col("condition_type"), F.col("spec")
     known = kind.isin("threshold", "window_aggregate", "pattern_match", "sql_returns_rows", "expression")

@@ -12,7 +12,7 @@ from ..functions.fields import ACCESSORS, compare, number_field, record_kind, te
 from ..functions.gotext import double_text
 from ..functions.patterns import java_pattern
 from ..model import OPS, PUSH, Fields, Rule, runnable
-from ..session import local_table
+from ..session import lenient, local_table, materialize
 from .timeline import Timeline
 
 
@@ -63,7 +63,9 @@ def push_verdicts(records: DataFrame, rules: Sequence[Rule], timeline: Timeline
         verdicts = F.when(test, row) if verdicts is None else verdicts.when(test, row)
     if len(by_input) == 1:
         verdicts = row
-    exploded = base.select(*keys, F.inline(verdicts)).where(F.col("triggered").isNotNull())
+    with lenient(records.sparkSession):
+        exploded = base.select(*keys, F.inline(verdicts))
+    exploded = exploded.where(F.col("triggered").isNotNull())
     return exploded.select("rule_id", *keys[:2], "triggered", "measure", "detail", *keys[2:])
 
 
@@ -130,13 +132,15 @@ def table_verdicts(records: DataFrame, rules_df: DataFrame, field_names: Sequenc
     spec = F.from_json("condition.spec", "struct<field:string,op:string,value:double,kind:string,pattern:string>")
     rules = _checked(rules_df).where((F.size("errors") == 0) & F.col("condition.type").isin(*TABLE_KINDS))
     rules = rules.select("input_ref", "id", F.col("condition.type").alias("type"), spec.alias("s"))
+    java = F.when((F.col("type") == "pattern_match") & (F.col("s.kind") == "regex"), F.col("s.pattern"))
+    # checked and translated once, not below the join; the stored size also tells Spark whether the rules can be broadcast
+    rules = materialize(rules.withColumn("java", _java_patterns(java)), "table-rules")
     if field_names is None:
         field_names = sorted(r[0] for r in rules.select("s.field").distinct().collect())
+    rules = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     none = F.create_map(F.lit(""), F.lit(None).cast("double")), F.create_map(F.lit(""), F.lit(None).cast("string"))
     numbers, texts = (F.create_map(*[c for n in field_names for c in (F.lit(n), read(record, kind, n))]) if field_names else none[i]
                       for i, read in enumerate((number_field, text_field)))
-    java = F.when((F.col("type") == "pattern_match") & (F.col("s.kind") == "regex"), F.col("s.pattern"))
-    rules = rules.withColumn("java", _java_patterns(java)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = records.select("input_ref", F.col("when").alias("now"), "seq", numbers.alias("nums"), texts.alias("txts"),
                             F.pmod(F.xxhash64("when", "seq"), F.lit(salts)).cast("int").alias("salt")).join(rules, ["input_ref", "salt"])
     number = F.try_element_at("nums", F.col("s.field"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +22,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def lenient(spark: SparkSession):
+    """Plans made inside treat a value that cannot be converted as NULL, so that one rule never ends the query of all."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the configured checkpoint folder.
 
@@ -33,6 +48,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Adds the package's source files to the application, once for each, by way of the shared folder, for Python workers without it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top, packed = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for folder, _, files in os.walk(top):
+            for name in sorted(n for n in files if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                archive.write(path, os.path.relpath(path, os.path.dirname(top)))
+    place = f"{shared_folder(spark)}/package-{uuid.uuid4().hex}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    sink = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    sink.write(bytearray(packed.getvalue()))
+    sink.close()
+    context.addPyFile(place)
+    _shipped.add(context.applicationId)
+
+
 # Folders of the tables that ``materialize`` wrote in this process, oldest first; long-running jobs remove theirs.
 stored: list[str] = []
 

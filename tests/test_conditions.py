@@ -158,7 +158,7 @@ def test_division_and_conditionals(spark):
     assert [flags[i][0] for i in range(2)] == [False, True]
 
 
-@pytest.mark.parametrize("text", ["record.n + 1", "record.n >", "nope(record.n) > 1", "record.a.c == 1", "a ? b", "(record.n > 1"])
+@pytest.mark.parametrize("text", ["record.n + 1", "record.n >", "nope(record.n) > 1", "record.a.c()", "a ? b", "(record.n > 1"])
 def test_bad_expressions_are_errors(spark, text):
     assert Expression(text).errors()
 
@@ -219,3 +219,41 @@ def test_only_referenced_columns_are_read(spark, tmp_path):
     plan = push_verdicts(records, [rule(condition=Threshold("a", ">", 1))])._jdf.queryExecution().toString()
     assert "ReadSchema: struct<t:timestamp,id:bigint,a:double>" in plan or "struct<t:timestamp,id:bigint,a:double>" in plan
     assert T.StructType  # plan text only
+
+
+NESTED = ['{"user":{"name":"ann","age":30,"tags":["x","y"]},"tags":["a","b",3],"level":"ERROR","n":5}',
+          '{"user":{"name":7,"tags":"x"},"tags":"a","level":"INFO","n":"5"}', '{"user":null,"level":"abc"}']
+
+
+@pytest.mark.parametrize("text, want", [
+    ('(record.level) == "ERROR"', {0: True, 1: False, 2: False}),
+    ('"ERROR" == ((record.level))', {0: True, 1: False, 2: False}),
+    ('record.user.name == "ann"', {0: True, 1: False, 2: False}),
+    ('record.user?.age >= 30', {0: True}),
+    ('record["user"].age + 1 > 30', {0: True}),
+    ('record.tags[0] == "a"', {0: True, 1: False, 2: False}),
+    ('record.user.tags[1] == "y" && record.n == 5', {0: True, 1: False, 2: False}),
+    ('"a" in record.tags', {0: True}),
+    ("3 in record.tags && !(4 in record.tags)", {0: True}),
+    ('"x" in record.user.tags', {0: True}),
+    ("len(record.tags) == 3", {0: True, 1: False}),
+    ('len(record.user.name) == 3', {0: True}),
+    ('string(record.n) == "5"', {0: True, 1: True}),
+    ("int(record.level) > 3 || record.n == 5", {0: True}),
+    ("int(record.n) == 5", {0: True, 1: True}),
+    ('cast(record.level as int) > 3 || record.n == 5', {0: True}),
+    ('concat(record.level, "x") == "ERRORx"', {0: True, 1: False, 2: False}),
+    ('coalesce(record.user.age, 0) >= 0', {0: True, 1: True, 2: True}),
+])
+def test_nested_fields_and_lists(spark, text, want):
+    rules = [Expression(text), Expression("record.n == 5")]
+    assert not rules[0].errors()
+    assert {k: v[0] for k, v in outcomes(spark, NESTED, rules[0]).items()} == want
+
+
+@pytest.mark.parametrize("text, hint", [
+    ("(record.a ?? 0) > 1", "coalesce"), ("record.a ** 2 > 4", "pow"), ("record.a in 1..9", "BETWEEN"), ('record.a + "x" == "ax"', "concat"),
+    ("max(record.a, 2) > 1", "greatest"), ("any(record.tags, # == 1)", "in record.list"),
+])
+def test_other_spellings_are_named(spark, text, hint):
+    assert hint in Expression(text).errors()[0]
