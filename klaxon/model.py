@@ -300,3 +300,8 @@ class Rule:
 def runnable(rules: Sequence[Rule], mode: str | None = None) -> list[Rule]:
     """Enabled rules that validate; the others are skipped, as their errors() tell."""
     return [r for r in rules if r.enabled and not r.errors() and mode in (None, r.condition.mode)]
+
+
+def skipped(rules: Sequence[Rule]) -> list[tuple[str, str]]:
+    """(id, reason) of the enabled rules that cannot run."""
+    return [(r.id, "; ".join(r.errors())) for r in rules if r.enabled and r.errors()]

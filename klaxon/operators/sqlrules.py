@@ -29,25 +29,28 @@ def uses_tick(query: str) -> bool:
 class Datasources:
     """Named sets of tables that SQL rules may query.
 
-    A table is any DataFrame (files, catalog table, JDBC reader). Queries name tables in braces:
-    ``select 1 from {orders} where ...``.
+    A table is any DataFrame (files, catalog table, JDBC reader), or a function that gives one anew for each evaluation, as a stream
+    needs it for tables that grow. Queries name tables in braces: ``select 1 from {orders} where ...``.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self._sources: dict[str, dict[str, DataFrame]] = {}
+        self._sources: dict[str, dict[str, DataFrame | Callable[[], DataFrame]]] = {}
 
-    def register(self, name: str, tables: dict[str, DataFrame]) -> "Datasources":
+    def register(self, name: str, tables: dict[str, DataFrame | Callable[[], DataFrame]]) -> "Datasources":
         self._sources[name] = dict(tables)
         return self
 
+    def _used(self, name: str, query: str) -> dict[str, DataFrame]:
+        tables = {k: v for k, v in self._sources[name].items() if "{" + k + "}" in _code(query)}
+        return {k: v() if callable(v) else v for k, v in tables.items()}
+
     def rows(self, name: str, query: str, tick: datetime | None = None) -> DataFrame:
         """Rows of a query; ``:tick`` in it is the evaluation time."""
         if name not in self._sources:
             raise KeyError(f"datasource {name!r} is not registered")
         args = {"tick": tick} if uses_tick(query) else None
-        used = {k: v for k, v in self._sources[name].items() if "{" + k + "}" in _code(query)}
-        return self.spark.sql(query, args=args, **used)
+        return self.spark.sql(query, args=args, **self._used(name, query))
 
     def count_by_tick(self, name: str, query: str, ticks: Sequence[tuple[int, datetime]]) -> DataFrame:
         """(now, seq, n) of numbered ticks: result rows of a query at each, in one pass over its tables."""
@@ -58,10 +61,9 @@ class Datasources:
             text += re.sub(r":tick\b", "__ticks.now", query[at:m.start()]) + m.group()
             at = m.end()
         text += re.sub(r":tick\b", "__ticks.now", query[at:])
-        used = {k: v for k, v in self._sources[name].items() if "{" + k + "}" in _code(query)}
         table = local_table(self.spark, [(tick, i) for i, tick in ticks], "now timestamp, seq bigint")
         counted = self.spark.sql("select __ticks.now, __ticks.seq, __rows.n from {__t} as __ticks, lateral (select count(1) as n from ("
-                                 + text + ")) as __rows", __t=table, **used)
+                                 + text + ")) as __rows", __t=table, **self._used(name, query))
         counted.schema  # analysed here, so that a query that cannot be joined is known at once
         return counted
 

@@ -1,4 +1,4 @@
-"""From records to incidents and messages, in one lazy plan."""
+"""From records to incidents and messages, in one plan."""
 
 from __future__ import annotations
 
@@ -10,13 +10,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import PUSH, SCHEDULED, Rule, SqlReturnsRows, runnable
+from ..model import PUSH, SCHEDULED, Rule, SqlReturnsRows, runnable, skipped
 from ..operators import config, delivery, matching, payloads, state
-from ..operators.sqlrules import Datasources, sql_verdicts
+from ..operators.sqljobs import JobLimits, evaluate_sql_rules, ticks_of
+from ..operators.sqlrules import Datasources
 from ..operators.timeline import ROWS_PER_SLICE, Timeline, plan_timeline
 from ..operators.verdicts import push_verdicts, value_templates, with_value
 from ..operators.windows import window_verdicts
-from ..session import materialize
+from ..session import local_table, materialize
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ class Carried:
 
 @dataclass(frozen=True)
 class AlertPlan:
-    """Lazy results. Attributes are DataFrames; nothing runs until they are used."""
+    """Results as DataFrames. Making the plan counts the records of its time slices and runs the SQL rules; the rest runs when it is used."""
 
     rules: Sequence[Rule]
     verdict_parts: tuple[DataFrame, ...]
@@ -57,6 +58,11 @@ class AlertPlan:
     def templates(self) -> DataFrame:
         return value_templates(self.rules_table.sparkSession, self.rules)
 
+    @cached_property
+    def skipped(self) -> DataFrame:
+        """(rule_id, reason) of the enabled rules that do not take part, because they are not valid."""
+        return local_table(self.rules_table.sparkSession, skipped(self.rules), "rule_id string, reason string")
+
     @cached_property
     def verdicts(self) -> DataFrame:
         columns = ["rule_id", "now", "seq", "triggered", "measure", "detail", "slice"]
@@ -166,11 +172,13 @@ def plan_alerts(
     timeline: Timeline | None = None,
     samples: DataFrame | None = None,
     after: datetime | None = None,
+    limits: JobLimits = JobLimits(),
 ) -> AlertPlan:
     """Evaluate rules over records and plan what to send.
 
     Event time is the clock: a record's ``when`` for push rules, the tick for scheduled rules, which run
-    from ``start`` to ``end``. SQL rules run at ``sql_ticks``. An incremental run passes the ticks already
+    from ``start`` to ``end``. SQL rules run at ``sql_ticks``, or else at the ticks of their own schedule, as jobs of their own within
+    ``limits`` (see :mod:`klaxon.operators.sqljobs`): what fails in one is its ``last_error`` and touches no other rule. An incremental run passes the ticks already
     done in ``after`` and, in ``samples``, the records its windows reach back to.
     """
     spark = records.sparkSession
@@ -184,8 +192,9 @@ def plan_alerts(
     scheduled = runnable(rules, SCHEDULED)
     if any(not isinstance(r.condition, SqlReturnsRows) for r in scheduled) and start and end:
         parts.append(state.sliced(window_verdicts(records if samples is None else samples, rules, start, end, max_span_ns, after), timeline))
-    if any(isinstance(r.condition, SqlReturnsRows) for r in scheduled) and datasources and sql_ticks:
-        verdicts, errors = sql_verdicts(datasources, rules, sql_ticks)
+    if any(isinstance(r.condition, SqlReturnsRows) for r in scheduled) and datasources and (sql_ticks or start and end):
+        due = sql_ticks or (lambda rule: ticks_of(rule, start, end, after))
+        verdicts, errors = evaluate_sql_rules(datasources, rules, due, limits)
         parts.append(state.sliced(verdicts, timeline))
     if not parts:
         parts.append(push_verdicts(records, [], timeline))

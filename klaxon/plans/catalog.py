@@ -18,6 +18,7 @@ from ..functions.durations import DAY_NS
 from ..functions.fields import compare
 from ..model import Expression, Fields, PatternMatch, Rule, SqlReturnsRows, Threshold, WindowAggregate
 from ..operators import config, delivery, history, matching, payloads, retention, state, windows
+from ..operators.sqljobs import evaluate_sql_rules
 from ..operators.sqlrules import Datasources, sql_verdicts
 from ..operators.timeline import plan_timeline
 from ..operators.verdicts import extract, push_verdicts, route, table_verdicts, value_templates
@@ -452,6 +453,23 @@ def sql_returns_rows(spark, sf):
     return plain(rows.select("rule_id", "now", "triggered", F.col("measure").cast("bigint").alias("n")))
 
 
+# Divides by zero at the tick half-way: a failure that no planning can see.
+def _fragile(months: list[datetime]) -> Rule:
+    middle = months[len(months) // 2]
+    return Rule("fragile", "Fragile", "orders", SqlReturnsRows(
+        "dw", "select 1 from {orders} where o_orderdate < :tick "
+              f"and o_totalprice / datediff(:tick, date'{middle:%Y-%m-%d}') > 1000", 50), schedule_ns=DAY_NS)
+
+
+@query
+def sql_isolated(spark, sf):
+    """Verdicts and errors of SQL rules of which one cannot be planned and one fails while running, at one tick."""
+    months = order_months(spark, sf)
+    rows, errors = evaluate_sql_rules(_warehouse(spark, sf), (*ORDER_RULES, _fragile(months)), months)
+    failed = errors.select("rule_id", "now", F.lit(False).alias("triggered"), F.lit(-1).cast("bigint").alias("n"), F.lit(True).alias("failed"))
+    return plain(rows.select("rule_id", "now", "triggered", F.col("measure").cast("bigint").alias("n"), F.lit(False).alias("failed")).unionByName(failed))
+
+
 @query
 def live_state_errors(spark, sf):
     rows, errors = sql_verdicts(_warehouse(spark, sf), ORDER_RULES, order_months(spark, sf))

@@ -385,6 +385,14 @@ def sql() -> dict[str, str]:
     q["sql_count_rows"] = "select count(*)::bigint as n from orders where o_totalprice > 400000"
     q["sql_returns_rows"] = f"""with {months} select 'late' as rule_id, now, n >= 60 as triggered, n from late
         union all select 'any', now, n >= 1, n from m, anyn"""
+    q["sql_isolated"] = f"""with {months}, middle as (select now as mid from m order by now limit 1 offset (select count(*) // 2 from m)),
+        fragile as (select now, count(o_orderkey)::bigint as n from m cross join middle left join orders on o_orderdate < now
+                    and o_totalprice / nullif(date_diff('day', mid, now), 0) > 1000 group by now)
+        select 'late' as rule_id, now, n >= 60 as triggered, n, false as failed from late
+        union all select 'any', now, n >= 1, n, false from m, anyn
+        union all select 'fragile', now, n >= 50, n, false from fragile, middle where now <> mid
+        union all select 'fragile', mid, false, -1, true from middle
+        union all select 'lost', now, false, -1, true from m"""
     q["live_state_errors"] = f"""with {months},
         v as (select 'late' as rule_id, now, n >= 60 as trig, n, 60 as need from late
               union all select 'any', now, n >= 1, n, 1 from m, anyn),

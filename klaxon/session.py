@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Sequence
@@ -73,6 +74,25 @@ def ship(spark: SparkSession) -> None:
 
 # Folders of the tables that ``materialize`` wrote in this process, oldest first; long-running jobs remove theirs.
 stored: list[str] = []
+_own = threading.local()
+
+
+def track(path: str) -> None:
+    """Notes a folder that this library wrote, for whoever collects them in this thread."""
+    stored.append(path)
+    for paths in getattr(_own, "open", []):
+        paths.append(path)
+
+
+@contextmanager
+def collecting():
+    """The folders that are written inside, by this thread only: streams that run side by side each see their own."""
+    paths: list[str] = []
+    _own.open = [*getattr(_own, "open", []), paths]
+    try:
+        yield paths
+    finally:
+        _own.open = [p for p in _own.open if p is not paths]
 
 
 def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
@@ -87,7 +107,7 @@ def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     if spread:
         df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df.write.parquet(path)
-    stored.append(path)
+    track(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

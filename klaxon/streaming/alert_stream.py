@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import SCHEDULED, Fields, Rule, SqlReturnsRows, runnable
+from ..operators.sqljobs import JobLimits
+from ..operators.sqlrules import Datasources
 from ..operators.state import incident_table
 from ..operators.verdicts import push_verdicts
 from ..plans.alerting import AlertPlan, Carried, Subscribers, plan_alerts
-from ..session import local_table, materialize, remove, stored
+from ..session import collecting, local_table, materialize, remove
 
 STATE_TABLES = ("open_incidents", "sub_states", "live_states", "one_shot_used", "pending", "samples", "progress")
 
@@ -34,7 +36,8 @@ class AlertStream:
     """State folder, rules and audience of one alerting stream.
 
     ``start`` is the origin of the scheduled ticks. ``horizon`` bounds how far back windows reach; by
-    default the longest window that any scheduled rule reads, in aggregates and in expressions.
+    default the longest window that any scheduled rule reads, in aggregates and in expressions. With ``datasources`` SQL rules run at the
+    ticks that the watermark passes, over their tables as they are then.
     """
 
     folder: str
@@ -43,6 +46,8 @@ class AlertStream:
     start: datetime
     delay: timedelta = timedelta(0)
     horizon: timedelta | None = None
+    datasources: Datasources | None = None
+    limits: JobLimits = JobLimits()
     _scratch: list[str] = field(default_factory=list, repr=False)
 
     def table(self, spark: SparkSession, name: str, batch_id: int | None = None) -> DataFrame:
@@ -73,9 +78,12 @@ class AlertStream:
 
         ``final`` drains the waiting records at the end of a bounded stream.
         """
+        remove(records.sparkSession, *self._scratch)
+        with collecting() as self._scratch:
+            return self._process(records, batch_id, final)
+
+    def _process(self, records: DataFrame, batch_id: int, final: bool) -> AlertPlan | None:
         spark = records.sparkSession
-        remove(spark, *self._scratch)
-        done = len(stored)
         previous = batch_id - 1
         first = batch_id == 0
         old = None if first else {n: self.table(spark, n, previous) for n in STATE_TABLES if n != "samples" or self._scheduled}
@@ -107,10 +115,9 @@ class AlertStream:
         utc = lambda t: None if t is None else t.astimezone(timezone.utc)
         end = self.start - timedelta(seconds=1) if watermark is None else utc(watermark)
         plan = plan_alerts(ready, self.rules, self.audience, self.start, end, carried=carried, samples=samples,
-                           after=utc(mark))
+                           after=utc(mark), datasources=self.datasources, limits=self.limits)
         self._results(plan, carried, batch_id)
         self._write(local_table(spark, [(utc(watermark),)], "watermark timestamp"), "progress", batch_id)
-        self._scratch = stored[done:]
         remove(spark, *(f"{self.folder}/{name}/batch_id={batch_id - 2}" for name in (*STATE_TABLES, "all_sub_states")))
         return plan
 
