@@ -140,11 +140,14 @@ def measure(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS
     # a place holds at most one window of each length, so what is collected is bounded by the text that it is compared with
     gathered = hits.groupBy("key").agg(F.collect_set(F.struct("start", "length", "window")).alias("places"))
     keys = _small_texts(materialize(hits.select("key").distinct(), "benchmark-keys"))
-    texts = keyed.join(keys, "key", "left_semi").dropDuplicates(["key"]).join(gathered, "key").select("key", "places", words_of(F.col("text")).alias("w"))
-    # the words are named twice, so the optimizer cuts a text once and not once for every place
-    fits = lambda c: (F.size("w") >= c["start"] + c["length"]) & (F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ") == c["window"])
-    verified = texts.select("key", F.array_sort(F.filter("places", fits)).alias("hits")).where(F.size("hits") > 0)
-    verified = materialize(verified.select("key", covered(F.col("hits")).alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["window"])).alias("windows")), "benchmark-hits")
+    texts = keyed.join(keys, "key", "left_semi").dropDuplicates(["key"]).join(gathered, "key").select("key", "text", "places")
+    # the words are bound once a text, and documents without hits are left out after writing: a filter here would move below the projections
+    # and take the cutting of the text into the comparison of every place
+    fits = lambda w: lambda c: (F.size(w) >= c["start"] + c["length"]) & (F.array_join(F.slice(w, c["start"] + 1, c["length"]), " ") == c["window"])
+    hits = F.flatten(F.transform(F.array(words_of(F.col("text"))), lambda w: F.filter("places", fits(w))))
+    verified = texts.select("key", F.array_sort(hits).alias("hits")).select(
+        "key", covered(F.col("hits")).alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["window"])).alias("windows"))
+    verified = materialize(verified, "benchmark-hits").where("n_hit > 0")
     items = verified.select("key", F.explode("windows").alias("window")).join(windows.select("item", "window"), "window").groupBy("key").agg(
         F.collect_set("item").alias("items"))
     named = verified.select("key", "n_hit").join(items, "key")
