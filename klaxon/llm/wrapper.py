@@ -16,9 +16,10 @@ stored bytes are few and joined by shuffle otherwise.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from .decontaminate import _small
 
 LEAST_PAGES, CONSTANT_SHARE = 4, 0.8
 DEPTH = 60
+CELLS = 1 << 16  # pairs of children that are aligned with a whole table
 
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -320,16 +322,79 @@ def numbered(shape: Shape) -> list[Shape]:
 
 
 def match(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
-    """Simple tree matching: size of the best pairing of two trees, and the pairs."""
+    """Simple tree matching: size of the best pairing of two trees, and the pairs.
+
+    Subtrees of equal structure are of one kind. Equal kinds pair node by node, and two different kinds are aligned once, however often they
+    meet. Children of equal kind at the start and the end of two lists belong together in some best pairing, so only the stretch
+    between them is searched; a long stretch is halved, in memory of its length.
+    """
     if a.label != b.label:
         return 0, []
-    rows, columns = a.children, b.children
-    inner = [[match(x, y) if x.label == y.label else (0, []) for y in columns] for x in rows]
-    best = [[0] * (len(columns) + 1) for _ in range(len(rows) + 1)]
-    for i in range(1, len(rows) + 1):
-        for j in range(1, len(columns) + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + inner[i - 1][j - 1][0])
-    pairs, i, j = [(a, b)], len(rows), len(columns)
+    known: dict[tuple, int] = {}
+    kind: dict[int, int] = {}
+    inside: list[list[int]] = []  # of each kind: kinds of its children, label, number of nodes
+    labels: list[str] = []
+    nodes: list[int] = []
+    for root in (a, b):
+        for shape in reversed(numbered(root)):
+            below = tuple(kind[id(c)] for c in shape.children)
+            kind[id(shape)] = k = known.setdefault((shape.label, below), len(known))
+            if k == len(inside):
+                inside.append(list(below))
+                labels.append(shape.label)
+                nodes.append(1 + sum(nodes[c] for c in below))
+    aligned: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+
+    def size(x: int, y: int) -> int:
+        if x == y:
+            return nodes[x]
+        if labels[x] != labels[y]:
+            return 0
+        if (x, y) not in aligned:
+            found = paired(inside[x], inside[y], size)
+            aligned[x, y] = 1 + sum(size(inside[x][i], inside[y][j]) for i, j in found), found
+        return aligned[x, y][0]
+
+    total, pairs, stack = size(kind[id(a)], kind[id(b)]), [], [(a, b)]
+    while stack:
+        x, y = stack.pop()
+        pairs.append((x, y))
+        if kind[id(x)] == kind[id(y)]:
+            stack.extend(zip(reversed(x.children), reversed(y.children)))
+        else:
+            stack.extend((x.children[i], y.children[j]) for i, j in reversed(aligned[kind[id(x)], kind[id(y)]][1]))
+    return total, pairs
+
+
+def paired(rows: list[int], columns: list[int], size: Callable[[int, int], int]) -> list[tuple[int, int]]:
+    """Positions of the order-keeping pairing of two lists of kinds with the greatest sum of sizes."""
+    start, most = 0, min(len(rows), len(columns))
+    while start < most and rows[start] == columns[start]:
+        start += 1
+    end = 0
+    while end < most - start and rows[-1 - end] == columns[-1 - end]:
+        end += 1
+    middle = between(rows[start:len(rows) - end], columns[start:len(columns) - end], size)
+    tail = range(end, 0, -1)
+    return ([(i, i) for i in range(start)] + [(start + i, start + j) for i, j in middle]
+            + [(len(rows) - k, len(columns) - k) for k in tail])
+
+
+def between(rows: list[int], columns: list[int], size: Callable[[int, int], int]) -> list[tuple[int, int]]:
+    """The same for lists without a common start or end; more than ``CELLS`` pairs are halved where the best sums of both halves meet."""
+    if not rows or not columns:
+        return []
+    if min(len(rows), len(columns)) > 1 and len(rows) * len(columns) > CELLS:
+        half = len(rows) // 2
+        cut = int(np.argmax(best_sums(rows[:half], columns, size) + best_sums(rows[half:][::-1], columns[::-1], size)[::-1]))
+        return between(rows[:half], columns[:cut], size) + [(half + i, cut + j) for i, j in between(rows[half:], columns[cut:], size)]
+    best = [[0] * (len(columns) + 1)]
+    for x in rows:
+        above, row = best[-1], [0]
+        for j, y in enumerate(columns):
+            row.append(max(above[j + 1], row[j], above[j] + size(x, y)))
+        best.append(row)
+    found, i, j = [], len(rows), len(columns)
     while i and j:
         if best[i][j] == best[i - 1][j]:
             i -= 1
@@ -337,8 +402,19 @@ def match(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs += inner[i][j][1]
-    return best[-1][-1] + 1, pairs
+            found.append((i, j))
+    return found[::-1]
+
+
+def best_sums(rows: list[int], columns: list[int], size: Callable[[int, int], int]) -> np.ndarray:
+    """Greatest sum of sizes of a pairing of all rows with the first 0, 1, 2, ... columns."""
+    kinds, places = np.unique(np.array(columns), return_inverse=True)
+    best, sizes = np.zeros(len(columns) + 1, np.int64), {}
+    for x in rows:
+        if x not in sizes:
+            sizes[x] = np.array([size(x, y) for y in kinds.tolist()], np.int64)
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + sizes[x][places]))
+    return best
 
 
 def text_of(nodes: list[Node]) -> str:

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import pytest
 
@@ -52,6 +54,52 @@ def test_tree_matching():
     assert wrapper.match(shape("<p>a"), wrapper.Shape("div", []))[0] == 0
 
 
+def plain_size(a, b):
+    """Simple tree matching as it is defined, without any saving."""
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children, 1):
+        for j, y in enumerate(b.children, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + plain_size(x, y))
+    return best[-1][-1] + 1
+
+
+@pytest.mark.parametrize("cells", [0, 1 << 16])
+def test_tree_matching_is_the_best(cells, monkeypatch):
+    monkeypatch.setattr(wrapper, "CELLS", cells)
+    draw = random.Random(7)
+
+    def tree(depth):
+        inner = "".join(tree(depth - 1) for _ in range(draw.randrange(6))) if depth else ""
+        name = draw.choice("abc")
+        return f"<x-{name}>{inner}</x-{name}>"
+
+    for _ in range(150):
+        a, b = (wrapper.Shape("#root", [wrapper.parse("".join(tree(2) for _ in range(draw.randrange(7))))]) for _ in range(2))
+        size, pairs = wrapper.match(a, b)
+        assert size == len(pairs) == plain_size(a, b)
+        assert all(x.label == y.label for x, y in pairs)
+        up = {id(c): id(p) for t in (a, b) for p in wrapper.numbered(t) for c in p.children}
+        met = {id(x): id(y) for x, y in pairs}
+        assert len(met) == len(set(met.values())) == size
+        assert all(met[up[x]] == up[y] for x, y in met.items() if x != id(a))
+        place = {id(s): i for i, s in enumerate(wrapper.numbered(b))}
+        order = [place[met[id(s)]] for s in wrapper.numbered(a) if id(s) in met]
+        assert order == sorted(order)
+
+
+def test_long_pages_are_matched_in_time():
+    draw = random.Random(3)
+    some = lambda n: "".join(f"<h3>Part</h3><p>{'<b>x</b>' * draw.randrange(2)}text{'<i>y</i><a>z</a>' * draw.randrange(2)}</p>" for _ in range(n))
+    parts = [f"<section>{some(9)}</section>" for _ in range(12)]
+    nested = lambda n: "<div>" + "".join(f"{draw.choice(parts)}<ul>{'<li>a</li>' * 3}</ul>" for _ in range(n)) + "</div>"
+    for a, b in ((some(5_000), some(4_000)), (nested(900), nested(700)), (some(12_000), some(40))):
+        began = time.process_time()
+        size, pairs = wrapper.match(*(wrapper.Shape("#root", [wrapper.parse(h)]) for h in (a, b)))
+        assert size == len(pairs) > 100 and time.process_time() - began < 30
+
+
 def test_copies_are_no_template(spark):
     data = [(i, "http://a.example.com/", page(1)) for i in range(8)]
     assert {r["text"] for r in wrapper.extract_pages(pages(spark, data)).collect()} == {text(1) + "\nFollow our news"}
