@@ -502,7 +502,8 @@ def induce(pages: DataFrame) -> DataFrame:
                     place = reference.place[id(r)]
                     count = sums.setdefault((host, place), [0, 0])
                     count[0] += 1
-                    count[1] += bool(reference.texts[place]) and text_of(own.nodes) == reference.texts[place]
+                    # the roots are at place 0, and that the whole texts differ is known here
+                    count[1] += place > 0 and bool(reference.texts[place]) and text_of(own.nodes) == reference.texts[place]
                     if place in reference.singles:
                         texts = {text_of([n]) for n in own.nodes}
                         for p, t in reference.singles[place]:
