@@ -63,6 +63,20 @@ def _struct_type(record_type: T.DataType, name: str | tuple) -> T.DataType | Non
     return record_type
 
 
+def unreachable(record_type: T.DataType | None, name: str | tuple) -> str | None:
+    """Why no record of a typed table can have this path: a value on the way has no such member. None for paths that are only missing."""
+    here = "record"
+    for step in steps(name):
+        listed = isinstance(record_type, T.ArrayType)
+        if listed and isinstance(step, str) or isinstance(record_type, T.StructType) and isinstance(step, int) or isinstance(
+                record_type, (*_NUMERIC, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)) or (
+                isinstance(record_type, T.StringType) and isinstance(step, str)):
+            return f"{here} is {'a list' if listed else record_type.simpleString()}, it has no member {step!r}"
+        here += f"[{step}]" if isinstance(step, int) else f".{step}"
+        record_type = _struct_type(record_type, step)
+    return None
+
+
 def _member(record: Column, name: str | tuple) -> Column:
     """The column of a path that ``_struct_type`` knows; places beyond a list are NULL."""
     for step in steps(name):

@@ -18,9 +18,10 @@ from typing import Any, NamedTuple
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .functions import expressions as X
-from .functions.fields import OPS, compare
+from .functions.fields import OPS, compare, unreachable
 from .functions.gotext import double_literal, duration_text, quoted
 from .functions.patterns import java_pattern, pattern_error
 
@@ -284,8 +285,8 @@ class Rule:
     labels: Mapping[str, str] = field(default_factory=dict)
     schedule_ns: int = 0
 
-    def errors(self) -> list[str]:
-        """Why this rule cannot run; empty when it can."""
+    def errors(self, record_type: DataType | None = None) -> list[str]:
+        """Why this rule cannot run; empty when it can. With the type of its records also what no such record can have."""
         out = [] if self.name else ["a rule needs a name"]
         out += [] if self.input_ref else ["a rule needs an input"]
         if self.condition is None:
@@ -294,14 +295,18 @@ class Rule:
             out.append("a scheduled rule needs a schedule above zero")
         if self.severity not in ("",) + SEVERITIES:
             out.append("unknown severity")
-        return out + self.condition.errors()
+        out += self.condition.errors()
+        if not out and isinstance(self.condition, Expression) and isinstance(self.condition.expr, str):
+            found = (unreachable(record_type, path) for path in X.paths(self.condition.expr))
+            out += [f"expression: {problem}" for problem in dict.fromkeys(found) if problem]
+        return out
 
 
-def runnable(rules: Sequence[Rule], mode: str | None = None) -> list[Rule]:
+def runnable(rules: Sequence[Rule], mode: str | None = None, record_type: DataType | None = None) -> list[Rule]:
     """Enabled rules that validate; the others are skipped, as their errors() tell."""
-    return [r for r in rules if r.enabled and not r.errors() and mode in (None, r.condition.mode)]
+    return [r for r in rules if r.enabled and not r.errors(record_type) and mode in (None, r.condition.mode)]
 
 
-def skipped(rules: Sequence[Rule]) -> list[tuple[str, str]]:
+def skipped(rules: Sequence[Rule], record_type: DataType | None = None) -> list[tuple[str, str]]:
     """(id, reason) of the enabled rules that cannot run."""
-    return [(r.id, "; ".join(r.errors())) for r in rules if r.enabled and r.errors()]
+    return [(r.id, "; ".join(r.errors(record_type))) for r in rules if r.enabled and r.errors(record_type)]

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import durations
 from ..functions.durations import DAY_NS
-from ..functions.fields import compare
+from ..functions.fields import compare, record_kind
 from ..model import Expression, Fields, PatternMatch, Rule, SqlReturnsRows, Threshold, WindowAggregate
 from ..operators import config, delivery, history, matching, payloads, retention, state, windows
 from ..operators.sqljobs import evaluate_sql_rules
@@ -214,9 +214,9 @@ def expression_invalid(spark, sf):
     texts = {"good": "record.value > 100", "syntax": "record.value >", "number": "record.value + 1", "unknown": "nope(record.value) > 1",
              "nested": "record.value.x == 1"}
     rules = [Rule(i, "n", "events", Expression(t)) for i, t in texts.items()]
-    ticks = push_verdicts(event_records(spark, sf), rules).groupBy("rule_id").agg(
-        F.count("*").alias("ticks"), F.count_if("triggered").alias("hits"))
-    listed = local_table(spark, [(r.id, bool(r.errors())) for r in rules], "rule_id string, invalid boolean")
+    records = event_records(spark, sf)
+    ticks = push_verdicts(records, rules).groupBy("rule_id").agg(F.count("*").alias("ticks"), F.count_if("triggered").alias("hits"))
+    listed = local_table(spark, [(r.id, bool(r.errors(record_kind(records)))) for r in rules], "rule_id string, invalid boolean")
     return listed.join(ticks, "rule_id", "left").na.fill(0, ["ticks", "hits"])
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from klaxon import Expression, PatternMatch, Rule, SqlReturnsRows, Threshold, WindowAggregate, register_condition
+from klaxon import Expression, PatternMatch, Rule, SqlReturnsRows, Threshold, WindowAggregate, plan_alerts, register_condition
 from klaxon.functions import expressions as X
 from klaxon.functions.durations import clock_duration_ns, flex_duration, flex_duration_ns
 from klaxon.functions.fields import compare
@@ -257,3 +257,17 @@ def test_nested_fields_and_lists(spark, text, want):
 ])
 def test_other_spellings_are_named(spark, text, hint):
     assert hint in Expression(text).errors()[0]
+
+
+def test_paths_through_typed_values_are_errors(spark):
+    df = local_table(spark, [(T0, 0, 1.0, "a", ["x"], (5,))], "at timestamp, seq bigint, v double, m string, l array<string>, s struct<n:int>")
+    records = as_records(df, "at", "seq")
+    texts = ["record.v.x == 1", 'record.m["x"] == 1', "record.l.x == 1", "record.s.n.x != 1", "record.at.x == nil", "record.s[0] == 5",
+             "record.s.n == 5", "record.s.other == nil", "record.none.x == nil", 'record.l[0] == "x"', "record.v == 1"]
+    rules = [rule(t, condition=Expression(t)) for t in texts]
+    kind = records.schema["record"].dataType
+    assert [bool(r.errors(kind)) for r in rules] == [True] * 6 + [False] * 5
+    assert rules[0].errors(kind) == ["expression: record.v is double, it has no member 'x'"]
+    assert {r["rule_id"]: r["triggered"] for r in push_verdicts(records, rules).collect()} == dict.fromkeys(texts[6:], True)
+    assert sorted(r["rule_id"] for r in plan_alerts(records, rules).skipped.collect()) == sorted(texts[:6])
+    assert not any(r.errors(json_records(spark, []).schema["record"].dataType) for r in rules)
