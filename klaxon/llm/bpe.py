@@ -25,9 +25,9 @@ from .segments import Segments, gather
 
 # Fixed value: the published splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ROUND_SYMBOLS = 4_000_000
+ROUND_SYMBOLS = 500_000  # about 50 MB of arrays at once
 OTHER_SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 500_000  # texts that a worker has in pieces at once; 4 million took 150 MB more
 KEPT_SEGMENTS = 300_000  # about 60 MB in a worker, which keeps them between tasks
 
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -62,6 +63,19 @@ def test_word_ids_equal_library():
         assert list(ids) == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_batches_hold_little_text():
+    import tracemalloc
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(400)) for i in range(1000)]
+    own = bpe.ByteBpe(BYTE)
+    tracemalloc.start()
+    for _, part in bpe.batches(pa.array(texts)):
+        own.encode(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000, peak
+
+
 def test_wavelet_matrix(monkeypatch):
     import io
 
