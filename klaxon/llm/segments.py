@@ -7,6 +7,7 @@ a bounded dictionary over one flat array; a full store is emptied and refilled,
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import repeat
 
 import numpy as np
 
@@ -48,24 +49,28 @@ class Segments:
         self.used += len(ids)
         self.places.update(zip(new, range(first, first + count)))
 
+    def places_of(self, distinct: Sequence[str]) -> np.ndarray:
+        """Places of distinct segments in the store; new ones are encoded."""
+        index = np.fromiter(map(self.places.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(index < 0)
+        if len(missing) and self.places and len(self.places) + len(missing) > self.kept:
+            self.clear()
+            index[:], missing = -1, np.arange(len(distinct))
+        if len(missing):
+            index[missing] = len(self.places) + np.arange(len(missing))
+            self._add([distinct[i] for i in missing.tolist()])
+        return index
+
+    def take(self, index: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts of some ``counts`` of segments, given as the places of all their segments in a row."""
+        lengths = self.lengths[index]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)].tolist()
+        flat = self.flat[gather(self.starts[index], lengths)]
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
     def ids(self, texts: Sequence[Sequence[str]]) -> list[np.ndarray]:
         """Ids of each text, given as its segments."""
-        get, found = self.places.get, []
-        new: dict[str, None] = {}
-        for segments in texts:
-            index = list(map(get, segments))
-            missing = [i for i, place in enumerate(index) if place is None] if None in index else []
-            new.update((segments[i], None) for i in missing)
-            found.append((index, missing))
-        if new and self.places and len(self.places) + len(new) > self.kept:
-            self.clear()
-            return self.ids(texts)
-        if new:
-            self._add(list(new))
-        out = []
-        for segments, (index, missing) in zip(texts, found):
-            for i in missing:
-                index[i] = self.places[segments[i]]
-            index = np.array(index, np.int64)
-            out.append(self.flat[gather(self.starts[index], self.lengths[index])])
-        return out
+        codes: dict[str, int] = {}
+        index = [codes.setdefault(s, len(codes)) for segments in texts for s in segments]
+        places = self.places_of(list(codes))
+        return self.take(places[np.array(index, np.int64)], np.array([len(s) for s in texts], np.int64))

@@ -19,22 +19,26 @@ import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_folder
 from .archives import open_folder
-from .bpe import batches, byte_letters
+from .bpe import byte_letters
 from .segments import Segments, gather
 
 MAGIC = b"WVM1"
 BLOCK_BITS = 1 << 17
 SHARD_IDS = 2_000_000
 END_ID = 1
+SLICE_BYTES = 4_000_000  # text that is encoded at once
 
 
 def build(ids: np.ndarray, width: int | None = None) -> tuple[list[np.ndarray], list[int]]:
@@ -222,26 +226,27 @@ class WordEncoder:
 
         The library's other steps leave such words as they are, but for spelling their bytes as letters.
         """
-        tokenize, sizes, flat = self.tokenizer.model.tokenize, np.zeros(len(words), np.int64), []
-        for i, word in enumerate(words):
-            found = tokenize(word if word.isascii() else word.translate(self.spelled))
-            sizes[i] = len(found)
-            flat += [t.id for t in found]
-        return np.array(flat, np.uint32), sizes
+        tokenize, sizes, flat = self.tokenizer.model.tokenize, np.zeros(len(words), np.int64), [np.zeros(0, np.uint32)]
+        for at in range(0, len(words), 10_000):
+            found = [tokenize(w if w.isascii() else w.translate(self.spelled)) for w in words[at:at + 10_000]]
+            sizes[at:at + len(found)] = list(map(len, found))
+            flat.append(np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), np.uint32))
+        return np.concatenate(flat), sizes
 
     def _encode(self, segments: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         words: dict[str, int] = {}
         others: dict[str, int] = {}
-        index, stop = np.zeros(len(segments), np.int64), np.zeros(len(segments), np.uint32)
-        for i, s in enumerate(segments):
-            last = self.stops.get(s[-1:])
+        places, lasts, stops = [], [], self.stops.get
+        for s in segments:
+            last = stops(s[-1:])
             stem = s if last is None else s[:-1]
-            if self.letters.fullmatch(stem):
-                stem = stem.lower()
-                index[i] = words.setdefault(stem, len(words))
-                stop[i] = 0 if last is None else last
+            if stem.isalpha() if stem.isascii() else self.letters.fullmatch(stem):
+                places.append(words.setdefault(stem.lower(), len(words)))
+                lasts.append(last or 0)
             else:
-                index[i] = -1 - others.setdefault(s, len(others))
+                places.append(-1 - others.setdefault(s, len(others)))
+                lasts.append(0)
+        index, stop = np.array(places, np.int64), np.array(lasts, np.uint32)
         ids, sizes = self._words(list(words)) if words else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         found = self._plain(list(others))
         flat = np.concatenate([ids, np.array([i for f in found for i in f], np.uint32)])
@@ -254,8 +259,24 @@ class WordEncoder:
         out[(starts + own)[stops]] = stop[stops]
         return out, lengths
 
-    def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        return self.whole.ids([(t or "").replace("\n", " ").split(" ") for t in texts])
+    def encode(self, texts: pa.Array | Sequence[str | None]) -> list[np.ndarray]:
+        """Ids of every whole text. Arrow cuts the texts and tells equal segments together; only distinct ones are looked up."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        places = self.whole.places_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return self.whole.take(places[coded.indices.to_numpy()], cut.value_lengths().to_numpy())
+
+
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Parts of an Arrow column, each of bounded text (at least one row), with the place of their first row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield start, texts.slice(start, stop - start)
+        start = stop
 
 
 @lru_cache(maxsize=2)
@@ -293,7 +314,7 @@ def write_shards(documents: DataFrame, path: str, folder: str, end_id: int = END
         for batch in incoming:
             part = batch.column(0)[0].as_py() if len(batch) else part
             ids = batch.column(1).to_pylist()
-            for start, texts in batches(batch.column(2)):
+            for start, texts in slices(batch.column(2)):
                 for i, found in enumerate(encoder.encode(texts)):
                     held.append(np.append(found, np.uint32(end_id)))
                     docs.append(ids[start + i])

@@ -76,6 +76,16 @@ def test_batches_hold_little_text():
     assert peak < 200_000_000, peak
 
 
+def test_words_of_many_slices_equal_library():
+    texts = [None, "a,b c. \n d", "", "Ünal, x.", *ODD * 3]
+    own, library = wavelet.WordEncoder(WORD), Tokenizer.from_file(WORD)
+    own.whole.kept = 20
+    parts = list(wavelet.slices(pa.array(["skipped", *texts]).slice(1), 10))
+    assert [s for s, _ in parts] == list(np.cumsum([0] + [len(p) for _, p in parts])[:-1]) and len(parts) > len(ODD)
+    found = [ids for _, part in parts for ids in own.encode(part)]
+    assert [list(f) for f in found] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_wavelet_matrix(monkeypatch):
     import io
 
