@@ -421,6 +421,34 @@ def text_of(nodes: list[Node]) -> str:
     return "\n".join(" ".join(c.split()) for n in nodes for e in elements(n) for c in e.children if isinstance(c, str) and not c.isspace())
 
 
+class Texts:
+    """The text of any elements of a tree, as :func:`text_of` gives it, from one pass over the tree."""
+
+    def __init__(self, root: Node):
+        self.parts: list[str] = []
+        self.spans: dict[int, tuple[int, int]] = {}
+        stack: list[tuple[Node, int]] = [(root, -1)]
+        while stack:
+            node, start = stack.pop()
+            if start >= 0:
+                self.spans[id(node)] = start, len(self.parts)
+                continue
+            stack.append((node, len(self.parts)))
+            below = []
+            for c in node.children:
+                if not isinstance(c, str):
+                    below.append((c, -1))
+                elif not c.isspace():
+                    self.parts.append(" ".join(c.split()))
+            stack += below[::-1]
+
+    def of(self, nodes: list[Node]) -> str:
+        if len(nodes) == 1:
+            start, end = self.spans[id(nodes[0])]
+            return "\n".join(self.parts[start:end])
+        return "\n".join([p for n in nodes for p in self.parts[slice(*self.spans[id(n)])]])
+
+
 class Reference:
     """The reference tree of a host with its texts."""
 
@@ -428,16 +456,17 @@ class Reference:
         self.root = Shape("#root", [parse(html)])
         self.nodes = numbered(self.root)
         self.place = {id(s): i for i, s in enumerate(self.nodes)}
-        self.texts = [text_of(s.nodes) for s in self.nodes]
+        texts = Texts(self.root.nodes[0])
+        self.texts = [texts.of(s.nodes) for s in self.nodes]
         self.blocks = article_blocks(self.root.nodes[0])
         # siblings that a run joins have places of their own, after those of the nodes
         self.singles: dict[int, list[tuple[int, str]]] = {}
         place = len(self.nodes)
         for i, s in enumerate(self.nodes):
             if len(s.nodes) > 1:
-                texts = sorted({text_of([n]) for n in s.nodes} - {""})
-                self.singles[i] = [(place + k, t) for k, t in enumerate(texts)]
-                place += len(texts)
+                singles = sorted({texts.of([n]) for n in s.nodes} - {""})
+                self.singles[i] = [(place + k, t) for k, t in enumerate(singles)]
+                place += len(singles)
 
 
 def article_blocks(root: Node) -> list[str]:
@@ -457,12 +486,13 @@ def extract(html: str, reference: Reference | None = None, constant: frozenset[i
     root = parse(html)
     skip: set[int] = set()
     if reference is not None and constant:
+        texts = Texts(root)
         for r, own in match(reference.root, Shape("#root", [root]))[1]:
             single = {t for p, t in reference.singles.get(reference.place[id(r)], ()) if p in constant}
             if single:
-                skip |= {id(n) for n in own.nodes if text_of([n]) in single}
+                skip |= {id(n) for n in own.nodes if texts.of([n]) in single}
             if reference.place[id(r)] in constant:
-                skip |= {id(n) for n in own.nodes if text_of([n]) in reference.texts[reference.place[id(r)]]}
+                skip |= {id(n) for n in own.nodes if texts.of([n]) in reference.texts[reference.place[id(r)]]}
     article, out = article_of(root, skip)
     above = article
     while above is not None:  # what holds the article is never template
@@ -496,20 +526,21 @@ def induce(pages: DataFrame) -> DataFrame:
                     known[host] = Reference(source)
                 reference = known[host]
                 shape = Shape("#root", [parse(html)])
-                if text_of(shape.nodes) == reference.texts[0] or near_copy(article_blocks(shape.nodes[0]), reference.blocks):
+                texts = Texts(shape.nodes[0])
+                if texts.of(shape.nodes) == reference.texts[0] or near_copy(article_blocks(shape.nodes[0]), reference.blocks):
                     continue  # a copy or near copy of the reference says nothing about what varies
                 for r, own in match(reference.root, shape)[1]:
                     place = reference.place[id(r)]
                     count = sums.setdefault((host, place), [0, 0])
                     count[0] += 1
                     # the roots are at place 0, and that the whole texts differ is known here
-                    count[1] += place > 0 and bool(reference.texts[place]) and text_of(own.nodes) == reference.texts[place]
+                    count[1] += place > 0 and bool(reference.texts[place]) and texts.of(own.nodes) == reference.texts[place]
                     if place in reference.singles:
-                        texts = {text_of([n]) for n in own.nodes}
+                        found = {texts.of([n]) for n in own.nodes}
                         for p, t in reference.singles[place]:
                             count = sums.setdefault((host, p), [0, 0])
                             count[0] += 1
-                            count[1] += t in texts
+                            count[1] += t in found
             rows = [(h, p, *c) for (h, p), c in sums.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
                 (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "place", "pages", "same"])

@@ -187,3 +187,12 @@ def test_pages_through_archives(spark):
     assert sorted(kinds[6], key=str) == sorted([("response", None), ("revisit", 6)], key=str)
     assert all(kinds[i] == [("response", None)] for i in (4, 5, 7, 8, 9, 10))
     assert archives.pages_through_warc(pages(spark, data).limit(0)).count() == 0
+
+
+def test_texts_of_a_tree_come_from_one_pass():
+    page = "<body>a <b> x  y </b>tail<ul><li>1<li>2 <i>deep</i> z<li> </ul><p></p>last &amp;</body>"
+    root = wrapper.parse(page)
+    texts, nodes = wrapper.Texts(root), list(wrapper.elements(root))
+    assert [texts.of([n]) for n in nodes] == [wrapper.text_of([n]) for n in nodes] and len(nodes) > 7
+    items = [n for n in nodes if n.tag == "li"]
+    assert texts.of(items) == wrapper.text_of(items) == "1\n2\nz\ndeep" and texts.of([]) == ""
