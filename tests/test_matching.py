@@ -33,3 +33,18 @@ def test_a_common_label_is_not_left_to_one_task(spark, monkeypatch):
     for found in (matching.match_labels(rules, subs), matching.match_subscriptions(rules, subs)):
         rows = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(rows) == 160_000 and 5 * max(rows) < sum(rows)
+
+
+def test_all_matches_are_spread_and_keep_their_settings(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BAND", 50, raising=False)
+    monkeypatch.setattr(matching, "LIST", 50, raising=False)
+    rules = local_table(spark, [(f"r{i}", {"team": "ops"}) for i in range(300)], RULES)
+    subs = audience(spark, [subscription(f"s{i}", selector={"team": "ops"}, dwell=i, resolve=None, once=i % 2 == 0, only=["mail", None])
+                            for i in range(300)] + [subscription("direct", rule_id="r7", repeat=5)]).subscriptions
+    found = matching.match_subscriptions(rules, subs)
+    by_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(by_task) == 90_001 and 5 * max(by_task) < sum(by_task)
+    kept = found.where("rule_id = 'r7'").collect()
+    assert sorted((r["subscription_id"], r["dwell_ns"], r["repeat_interval_ns"], r["notify_on_resolve"], r["one_shot"]) for r in kept) == sorted(
+        [(f"s{i}", i * 10**9, 0, True, i % 2 == 0) for i in range(300)] + [("direct", 0, 5 * 10**9, True, False)])
+    assert {tuple(r["channel_filter"] or ()) for r in kept} == {("mail", None), ()}
